@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .pii import op2_pii
+from .simhash import op4_simhash
 from .url_filters import op7_url_filters
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op4_simhash": op4_simhash,
     "op7_url_filters": op7_url_filters,
 }
 ORACLES: dict[str, str] = {}
