@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .mixing import op9_mixing
+from .packing import op10_packing
 from .pii import op2_pii
 from .simhash import op4_simhash
 from .url_filters import op7_url_filters
@@ -10,5 +12,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op4_simhash": op4_simhash,
     "op7_url_filters": op7_url_filters,
+    "op9_mixing": op9_mixing,
+    "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
