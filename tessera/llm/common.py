@@ -43,9 +43,8 @@ def words(c: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    """Their number. One more than the separators between them, so no array is built."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "), "^ | $", "")
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Their number; 0 for null."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def fresh(prefix: str) -> str:

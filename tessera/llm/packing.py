@@ -110,6 +110,27 @@ def first_basis(count: dict[int, int], room: int) -> list[Counter]:
     return out
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products without BLAS, whose threads can stall beside a JVM in the same driver."""
+    return np.einsum("ij,j->i", a, b) if a.ndim == 2 else np.einsum("i,ij->j", a, b)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with the largest pivot of each column."""
+    n = len(matrix)
+    m = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        r = k + int(np.abs(m[k:, k]).argmax())
+        if r != k:
+            m[[k, r]] = m[[r, k]]
+        m[k] /= m[k, k]
+        factor = m[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        m[rows] -= factor[rows, None] * m[k]
+    return m[:, n:]
+
+
 def column_generation(count: dict[int, int], room: int, gap: float = 0.001) -> list[tuple[Counter, float]]:
     """Patterns and how often the linear program uses them: the fewest sequences with room for every item. It ends once a lower bound, the
     ids there are or what the duals prove, is within `gap` of its value."""
@@ -122,11 +143,11 @@ def column_generation(count: dict[int, int], room: int, gap: float = 0.001) -> l
     basis: list[Counter | None] = list(first_basis(count, room))
     matrix = np.array([column(p) for p in basis]).T
     cost = np.ones(len(sizes))
-    inverse = np.linalg.inv(matrix)
-    x = inverse @ need
-    bound = float(sizes @ need) / room
+    inverse = inverted(matrix)
+    x = times(inverse, need)
+    bound = float((sizes * need).sum()) / room
     for step in range(1, 50 * len(sizes) + 100):
-        value, duals = float(cost @ x), cost @ inverse
+        value, duals = float((cost * x).sum()), times(cost, inverse)
         if value * (1 - gap) <= bound:
             break
         if (i := int(duals.argmin())) >= 0 and duals[i] < -1e-9:  # the surplus of this size enters: room for more of it than there is
@@ -137,7 +158,7 @@ def column_generation(count: dict[int, int], room: int, gap: float = 0.001) -> l
             if best <= 1 + 1e-9 or value * (1 - gap) <= bound:
                 break
             a = column(pattern)
-        d = inverse @ a
+        d = times(inverse, a)
         up = d > 1e-9
         ratio = np.full(len(x), np.inf)
         ratio[up] = np.maximum(x[up], 0) / d[up]
@@ -150,8 +171,8 @@ def column_generation(count: dict[int, int], room: int, gap: float = 0.001) -> l
             x = x - t * d
             x[r] = t
         else:
-            inverse = np.linalg.inv(matrix)
-            x = inverse @ need
+            inverse = inverted(matrix)
+            x = times(inverse, need)
     return [(p, float(v)) for p, v in zip(basis, x, strict=True) if p is not None and v > 1e-9]
 
 
