@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .mixing import op9_mixing
+from .neighbours import op6_neighbours
 from .packing import op10_packing
 from .pii import op2_pii
 from .simhash import op4_simhash
+from .toxicity import op8_toxicity
 from .url_filters import op7_url_filters
 
 QUERIES = {
     "op2_pii": op2_pii,
     "op4_simhash": op4_simhash,
+    "op6_neighbours": op6_neighbours,
     "op7_url_filters": op7_url_filters,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
