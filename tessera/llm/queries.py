@@ -7,10 +7,12 @@ from .neighbours import op6_neighbours
 from .packing import op10_packing
 from .pii import op2_pii
 from .simhash import op4_simhash
+from .substrings import op1_substrings
 from .toxicity import op8_toxicity
 from .url_filters import op7_url_filters
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_pii": op2_pii,
     "op4_simhash": op4_simhash,
     "op6_neighbours": op6_neighbours,
