@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op3_jaccard_join
 from .mixing import op9_mixing
 from .neighbours import op6_neighbours
 from .packing import op10_packing
@@ -14,6 +15,7 @@ from .url_filters import op7_url_filters
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_pii": op2_pii,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_simhash": op4_simhash,
     "op6_neighbours": op6_neighbours,
     "op7_url_filters": op7_url_filters,
