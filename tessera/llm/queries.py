@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard_join import op3_jaccard_join
+from .line_templates import op5_line_templates
 from .mixing import op9_mixing
 from .neighbours import op6_neighbours
 from .packing import op10_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_simhash": op4_simhash,
+    "op5_line_templates": op5_line_templates,
     "op6_neighbours": op6_neighbours,
     "op7_url_filters": op7_url_filters,
     "op8_toxicity": op8_toxicity,
