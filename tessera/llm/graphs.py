@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -46,3 +47,24 @@ def present(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+
+
+def maybe_in(ids: DataFrame, column: str, bits: int = 1 << 25):
+    """A test for bigint columns: true for every value of `ids`, and by chance for few others. Its size is fixed, so every task can hold it,
+    and rows that fail it need no join with `ids`."""
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(F.col(column).cast("long")).alias("h")), "h", bits))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(present(shared.value, h.to_numpy()))
+
+    return lambda c: test(F.xxhash64(c.cast("long")))
+
+
+def left_joined(df: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
+    """df left join right on key <=> right_key, where `right` has few of df's keys: only rows that may have a partner are moved."""
+    test = maybe_in(right, right_key)
+    mine: Column = test(F.col(key))
+    joined = df.where(mine).join(right, F.col(key).eqNullSafe(F.col(right_key)), "left")
+    rest = df.where(~mine)
+    return joined.unionByName(rest, allowMissingColumns=True)

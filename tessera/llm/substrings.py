@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .graphs import left_joined
 
 WINDOW, GRAM = 50, 25
 ROWS, CELLS, BLOCK = 3, 1 << 27, 1 << 16
@@ -235,7 +236,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int =
     """(doc_id, n_words, n_removed, kept_sha256, text): each document without the words that earlier documents' windows cover; `text` (kept
     words joined by one space) is null unless asked for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", "text").join(removals(docs, window, gram, cells).withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left").select("doc_id", "text", "starts")
+    gone = cut(removals(docs, window, gram, cells).withColumnRenamed("doc_id", "__id"))
+    joined = left_joined(docs.select("doc_id", "text"), gone, "doc_id", "__id").select("doc_id", "text", "starts")
 
     def finish(batches):
         for pdf in batches:
