@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .graphs import bitmap, present
+from .graphs import bitmap, left_joined, present
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.8, 5, 4
 FIELD = "<*>"
@@ -148,13 +148,13 @@ def without(text: str | None, keys, min_tokens: int) -> tuple[str | None, int, i
 
 def dedup(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The documents without recurring lines: text is what is left; n_lines and n_dropped are added."""
-    drop = templates(docs, depth, similarity, min_docs, min_tokens).withColumnRenamed("doc_id", "__id")
+    drop = cut(templates(docs, depth, similarity, min_docs, min_tokens).withColumnRenamed("doc_id", "__id"))
 
     def apply(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([without(t, k, min_tokens) for t, k in zip(texts, keys, strict=True)], columns=["text", "lines", "dropped"])
 
     run = F.pandas_udf(apply, "text string, lines bigint, dropped bigint")
-    joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("__out", run("text", "keys"))
+    joined = left_joined(docs, drop, "doc_id", "__id").withColumn("__out", run("text", "keys"))
     return joined.withColumn("text", F.col("__out.text")).select(*docs.columns, F.col("__out.lines").alias("n_lines"), F.col("__out.dropped").alias("n_dropped"))
 
 
