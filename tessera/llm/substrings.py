@@ -105,10 +105,12 @@ def sketch(docs: DataFrame, width: int, rounds: int, at: int, window: int, gram:
 
         def flush():
             # A document counts once in a cell; a cell that two documents of the partition touch is sent as counted twice.
-            cells, n = np.unique(np.concatenate(touched), return_counts=True) if touched else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if not touched:
+                return
+            cells, n = np.unique(np.concatenate(touched), return_counts=True)
             touched.clear()
             blocks = cells // BLOCK
-            edges = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(cells) else []
+            edges = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
             for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
                 own, twice = cells[a:b] - blocks[a] * BLOCK, n[a:b] > 1
                 yield int(blocks[a]), packed(own), packed(own[twice])
