@@ -79,7 +79,7 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", key: str =
     d = d.withColumn("__mix_from", F.col("__mix_before") + F.coalesce(F.sum("__mix_size").over(w), F.lit(0)))
     goal_words = F.round("__mix_target").cast("long")
     part = lambda k: F.least(F.col("__mix_size"), F.greatest(F.lit(0), goal_words - F.col("__mix_source_size") * k - F.col("__mix_from")))
-    middle = lambda k: (F.col("__mix_source_size") * k + F.col("__mix_from") + part(k) / 2) / goal_words
+    middle = lambda k: (F.col("__mix_source_size") * k + F.col("__mix_from") + part(k) / 2) / F.greatest(goal_words, F.lit(1))
     parts = F.array(*[F.struct(inverse(F.col("__mix_start"), F.col("__mix_end"), middle(k)).alias("position"), part(k).alias("words")) for k in range(int(-(-cap // 1)))])
     taken = sum((part(k) for k in range(1, int(-(-cap // 1)))), part(0))
     out = d.withColumns({"parts": F.filter(parts, lambda p: p["words"] > 0), "taken": taken})
