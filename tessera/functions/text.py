@@ -21,7 +21,7 @@ def render(c: Column, kind: T.DataType) -> Column:
         digits = F.regexp_replace(plain.cast("decimal(38,18)").cast("string"), "0+$", "")
         mantissa = F.regexp_replace(F.regexp_extract(plain, "^(-?[0-9.]+)E", 1), r"\.0$", "")
         exponent = F.regexp_extract(plain, "E(-?[0-9]+)$", 1).cast("int")
-        scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.abs(exponent) < 10, "0").otherwise(""), F.abs(exponent).cast("string"))
         size = F.abs(d)
         shown = F.when(F.isnan(d), "nan").when(size == float("inf"), F.when(d > 0, "inf").otherwise("-inf"))
         shown = shown.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), plain).when((size >= 1e7) & (size < 1e16) & (d == F.floor(d)), whole)

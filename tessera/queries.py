@@ -156,7 +156,7 @@ cells AS ({cells_sql('customer', 'supplier')}),
 ranks AS (SELECT v, {RANKED} AS r FROM (SELECT DISTINCT v FROM cells)),
 keyed AS (SELECT v, max(r) OVER (PARTITION BY coalesce(CAST(TRY_CAST(v AS DOUBLE) AS VARCHAR), 's' || v)) AS rank FROM ranks),
 rows_ AS (SELECT tbl, col, v, rank FROM cells JOIN keyed USING (v)),
-raw AS (SELECT tbl, col, min(rank) AS low, unnest(quantile_cont(CAST(rank AS DOUBLE), list_transform(range(1, 257), lambda k: k / 257.0))) AS q FROM rows_ GROUP BY ALL),
+raw AS (SELECT tbl, col, low, unnest(qs) AS q FROM (SELECT tbl, col, min(rank) AS low, quantile_cont(CAST(rank AS DOUBLE), list_transform(range(1, 257), lambda k: k / 257.0)) AS qs FROM rows_ GROUP BY ALL)),
 bounds AS (SELECT tbl, col, min(low) AS low, list_sort(list(DISTINCT round_even(q, 3))) AS b FROM raw GROUP BY ALL)"""
 
 
