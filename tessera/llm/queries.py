@@ -6,6 +6,7 @@ from .jaccard_join import op3_jaccard_join
 from .line_templates import op5_line_templates
 from .mixing import op9_mixing
 from .neighbours import op6_neighbours
+from .oracles import ORACLES
 from .packing import op10_packing
 from .pii import op2_pii
 from .simhash import op4_simhash
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
