@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of so many rows at most, which keeps workers small beside a full executor heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the shared folder from then on, so a lost executor costs nothing upstream."""
     shared_dir(df.sparkSession)

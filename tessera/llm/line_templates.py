@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .graphs import bitmap, left_joined, present
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.8, 5, 4
@@ -82,6 +82,7 @@ class Leaf:
 def templates(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, keys): the masked lines that a document loses."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, partitions, small_batches, table
 
 LENGTH = 1024
 #: Remainders are told apart by this many tokens: the linear program has LENGTH / GRAIN rows, and a piece wastes GRAIN / 2 tokens on average.
@@ -69,6 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int =
                     rows.append((key, at, len(one), zlib.crc32(one.tobytes()), len(ids), one.astype("int32") if with_ids else None))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, PIECES.format(kind=kind))
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "short_card")
@@ -127,6 +127,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "spans": [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in find(t, threshold)] for t in pdf["text"]]})
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInPandas(run, f"key {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("key", key)
 

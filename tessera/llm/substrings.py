@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .graphs import left_joined
 
 WINDOW, GRAM = 50, 25
@@ -208,6 +208,7 @@ def repeated(docs: DataFrame, shared, width: int, rounds: int, at: int, window:
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
     """(doc_id, starts): where the windows start that a document with a smaller doc_id has too."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Some 13 windows share an anchor and a word has about 6 bytes; 12 cells for each anchor keep the estimates sharp.
     need = 12 * int(d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // 80 + BLOCK

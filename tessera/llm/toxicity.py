@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 SAMPLE, KEPT, FOLDS, THRESHOLD = 16_000, 512, 3, 0.5
 STARTS = range(2, 9)
@@ -97,6 +97,7 @@ def score_rows(w: np.ndarray, rows, cols, n, dim, dense) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE, kept: int = KEPT, folds: int = FOLDS) -> Chain:
     """`labels` has doc_id and a 0/1 column for each category. At most `sample` labelled rows are used, so the driver's share is bounded."""
+    small_batches(docs.sparkSession)
     chosen = labels.select("doc_id", *categories).where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     n_cat = len(categories)
