@@ -24,14 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .graphs import bitmap, components, present
 from .substrings import B1, I1, Rolling, mixed, texts, word_hashes
 
 N, NUM, DEN = 4, 85, 100
 CELLS, BLOCK = 1 << 22, 1 << 16
-FRAGMENTS = 8
-SEEN = 1 << 27
+FRAGMENTS, EARLY = 8, 2
+#: The least and the most bits of the test for shingles that only one document has among its first ones.
+LEAST, MOST = 1 << 20, 1 << 29
+#: Pairs on shared shingles are taken one by one once there are so few for each row of a shingle and a class, or after so many leaders.
+FEW, LEADERS = 64, 2
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -110,14 +113,16 @@ def first_ones(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarr
 
 
 def seen_twice(docs: DataFrame, shared, n: int, num: int, den: int) -> np.ndarray:
-    """Bits of the hash cells that first shingles of two documents or more fall into; SEEN bits whatever the input."""
+    """Bits of the hash cells that first shingles of two documents or more fall into, some eight for each, within fixed bounds."""
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    width = max(LEAST, min(MOST, 1 << (8 * size * (den - num) // den // 6).bit_length()))
 
     def count(batches):
         level = shared.value
         for batch in batches:
             got = [first_ones(s, level, num, den) for _, t in texts(batch) if len(s := shingles(t, n))]
             if got:
-                c, k = np.unique(np.concatenate(got) & np.uint64(SEEN - 1), return_counts=True)
+                c, k = np.unique(np.concatenate(got) & np.uint64(width - 1), return_counts=True)
                 block = (c >> np.uint64(20)).astype(np.int64)
                 edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
                 ends = [*edges[1:], len(c)]
@@ -142,7 +147,7 @@ def seen_twice(docs: DataFrame, shared, n: int, num: int, den: int) -> np.ndarra
             yield pd.DataFrame([(block, np.packbits(twice).tobytes())], columns=["block", "bits"])
 
     parts = docs.mapInArrow(count, "block int, once binary, twice binary").repartition("block").sortWithinPartitions("block")
-    out = np.zeros((SEEN >> 20, 1 << 17), dtype=np.uint8)
+    out = np.zeros((width >> 20, 1 << 17), dtype=np.uint8)
     for r in parts.mapInPandas(merge, "block int, bits binary").toLocalIterator():
         out[r.block] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
@@ -161,7 +166,7 @@ def first_shingles(docs: DataFrame, level, twice, n: int, num: int, den: int) ->
                 if not len(s):
                     continue
                 f = first_ones(s, lv, num, den)
-                c = (f & np.uint64(SEEN - 1)).astype(np.int64)
+                c = (f & np.uint64(8 * len(bits) - 1)).astype(np.int64)
                 f = f[(bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)]
                 if len(f):
                     token.append(f.view(np.int64))
@@ -173,13 +178,14 @@ def first_shingles(docs: DataFrame, level, twice, n: int, num: int, den: int) ->
     return docs.mapInArrow(run, "token bigint, class binary, n bigint")
 
 
-def segments(docs: DataFrame, wanted, n: int) -> DataFrame:
-    """(class, fragment, part): the sets of wanted documents, split by fragment of the hash order."""
+def segments(docs: DataFrame, wanted, n: int, low: int, high: int) -> DataFrame:
+    """(class, fragment, part): the sets of wanted documents, split by fragment of the hash order; fragments from low to high."""
     kinds = {"class": pa.binary(), "fragment": pa.int32(), "part": pa.list_(pa.int64())}
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
 
     def run(batches):
         bits = wanted.value
+        sent: set[bytes] = set()
         for batch in batches:
             keys = np.array([0 if k is None else k for k in batch.column(0).to_pylist()], dtype=np.int64)
             on = present(bits, mixed(keys.view(np.uint64)).view(np.int64))
@@ -192,37 +198,64 @@ def segments(docs: DataFrame, wanted, n: int) -> DataFrame:
                     continue
                 edges = np.searchsorted(s >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
                 d = digest(s)
-                rows += [(d, f, s[a:b].view(np.int64)) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                if d in sent:
+                    continue
+                sent.add(d)
+                rows += [(d, f, s[a:b].view(np.int64)) for f, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a and low <= f < high]
             if rows:
                 yield batch_of(list(zip(*rows, strict=True)), kinds)
 
     return docs.mapInArrow(run, "class binary, fragment int, part array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The candidate pairs (a, b) of classes that are over the threshold."""
-    spark = docs.sparkSession
-    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = cut(in_pairs.join(classes, "class").select("class", "doc_id", "n"))
+def doc_bits(classes: DataFrame):
+    """A test of fixed size for the documents that stand for classes (class, doc_id, ...)."""
 
     @F.pandas_udf("bigint")
     def hashed(k: pd.Series) -> pd.Series:
         return pd.Series(mixed(k.fillna(0).to_numpy().astype(np.int64).view(np.uint64)).view(np.int64))
 
-    bits = spark.sparkContext.broadcast(bitmap(wanted.select(hashed("doc_id").alias("h")), "h"))
-    parts = cut(segments(docs, bits, n).join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class", "fragment"]))
-    size = wanted.select("class", "n")
+    return classes.sparkSession.sparkContext.broadcast(bitmap(classes.select(hashed("doc_id").alias("h")), "h"))
+
+
+def early_sets(docs: DataFrame, classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(class, fragment, part) of the classes' first fragments, and (class, doc_id, n, early): how many shingles lie in them."""
+    parts = cut(segments(docs, doc_bits(classes), n, 0, EARLY))
+    early = parts.groupBy("class", "fragment").agg(F.max(F.size("part")).alias("k")).groupBy("class").agg(F.sum("k").alias("early"))
+    return parts, cut(classes.select("class", "doc_id", "n").join(early, "class", "left").select("class", "doc_id", "n", F.coalesce("early", F.lit(0)).alias("early")))
+
+
+def overlaps(pairs: DataFrame, parts: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b, o): shared shingles in the fragments from low to high, counted fragment by fragment and summed. Both joins are on class and
+    fragment, so the sets are moved once and read twice."""
+    parts = parts.repartition("class", "fragment")
     a = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("pa"))
     b = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("pb"))
-    partial = pairs.select("a", "b").join(a, "a").join(b, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
-    overlap = partial.groupBy("a", "b").agg(F.sum("o").alias("o"))
-    sized = overlap.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
+    each = pairs.select("a", "b", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("fragment"))
+    partial = each.join(a, ["a", "fragment"]).join(b, ["b", "fragment"]).select("a", "b", "fragment", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
+    # A class whose document is in the input more than once may come more than once.
+    return partial.groupBy("a", "b", "fragment").agg(F.max("o").alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, parts: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The candidate pairs (a, b) of classes that are over the threshold. The first fragments' overlap and all that the others could add rule
+    out most pairs that are not; for the rest, the other fragments are read and counted."""
+    p = pairs.select("a", "b")
+    for x in ("a", "b"):
+        p = p.join(known.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("early").alias(f"e{x}")), x)
+    p = p.join(overlaps(pairs, parts, 0, EARLY).withColumnRenamed("o", "o1"), ["a", "b"], "left").withColumn("o1", F.coalesce("o1", F.lit(0)))
+    most = F.col("o1") + F.least(F.col("na") - F.col("ea"), F.col("nb") - F.col("eb"))
+    enough = lambda o: o * (den + num) >= (F.col("na") + F.col("nb")) * num
+    p = cut(p.where(enough(most)))
+    asked = known.join(p.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+    late = overlaps(p, segments(docs, doc_bits(asked), n, EARLY, FRAGMENTS), EARLY, FRAGMENTS)
+    return p.join(late, ["a", "b"], "left").where(enough(F.col("o1") + F.coalesce("o", F.lit(0)))).select("a", "b")
 
 
 def linked(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: doc_id, n, class), (links: a, b between classes) and (roots: node, root) of the classes that have links."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = cut(described(d, n))
     members = both.where("block is null").select("doc_id", "n", "class")
@@ -231,8 +264,11 @@ def linked(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> tuple
     twice = spark.sparkContext.broadcast(seen_twice(d, level, n, num, den))
     tokens = first_shingles(d, level, twice, n, num, den).groupBy("token", "class").agg(F.first("n").alias("n"))
     tokens = cut(tokens)
-    shared = tokens.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("token")
-    tokens = cut(tokens.join(shared, "token"))
+    # Of shingles that are among the first ones of the same classes, one says it all.
+    sign = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"s{i}") for i in (1, 2)]
+    shared = tokens.groupBy("token").agg(F.count("*").alias("m"), *sign).where("m > 1").groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
+    tokens = cut(tokens.join(shared.select("token"), "token"))
+    parts, known = early_sets(d, tokens.select("class").distinct().join(classes, "class"), n)
     near = F.least("n", "ln") * den >= F.greatest("n", "ln") * num
     pair = [F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")]
     checked, links, roots, turn = None, None, None, 0
@@ -243,10 +279,10 @@ def linked(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> tuple
             at = tokens.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         mixed_ = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"), F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(turn))).alias("lead")).where("x <> y")
         at = cut(at.join(mixed_, "token").select("token", "class", "n", "root", "m", F.col("lead.class").alias("lead"), F.col("lead.n").alias("ln"), F.col("lead.root").alias("lr")))
-        left, most = at.agg(F.count("*"), F.max("m")).first()
+        left, pairs = at.agg(F.count("*"), F.sum(F.col("m") - 1)).first()
         if not left:
             break
-        last = turn >= 2 and (not found or most <= 64 or turn >= 12)
+        last = turn > 0 and (pairs // 2 <= FEW * left or not found or turn >= LEADERS)
         if last:  # every pair of different components on a shared shingle
             one = at.select("token", "class", "n", "root")
             other = one.select("token", F.col("class").alias("lead"), F.col("n").alias("ln"), F.col("root").alias("lr"))
@@ -256,7 +292,7 @@ def linked(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> tuple
         if checked is not None:
             cand = cand.join(checked, ["a", "b"], "left_anti")
         cand = cut(cand)
-        new = cut(verified(cand, d, classes, n, num, den))
+        new = cut(verified(cand, d, parts, known, n, num, den))
         found = new.count()
         checked = cand if checked is None else checked.union(cand)
         if found or links is None:
