@@ -102,7 +102,7 @@ def find(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, int,
         return []
     groups = list(digit_groups(text))
     out = [("email", a, b, 1.0) for a, b in emails(text)]
-    out += [("ip", a, b, 1.0) for a, b in ips(text)] if groups and "." in text else []
+    out += [("ip", a, b, 1.0) for a, b in ips(text)] if "." in text else []
     out += [("card", a, b, 1.0) for a, b, d in groups if 16 <= len(d) <= 19 and luhn(d)]
     out += [("phone", a, b, 1.0) for a, b in phones(text)] if "+" in text else []
     if groups:

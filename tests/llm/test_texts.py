@@ -154,6 +154,13 @@ def test_pii(spark):
     assert sorted((r.doc_id, len(r.spans)) for r in got) == [(1, 1), (1, 1), (2, 0)]
 
 
+@pytest.mark.parametrize("text", ["8.8.8.8", "ping 8.8.8.8 ok", "1.1.1.1 and 1.2.3.4.5.6.7.8", "v1.2.3"])
+def test_pii_without_longer_numbers(text):
+    found = pii.find(text)
+    assert ([sum(s[0] == k for s in found) for k in pii.BASE_KINDS], hashlib.sha256(pii.joined(found).encode()).hexdigest()) == pii.brute(text)
+    assert len(found) == sum(text.count(x) for x in ("8.8.8.8", "1.1.1.1", "1.2.3.4", "5.6.7.8"))
+
+
 def test_line_templates(spark):
     rng = random.Random(4)
     docs = {i: "\n".join([f"User {rng.randrange(999)} logged in from host h{rng.randrange(50)} today", "all rights are reserved by the owner", " ".join(rng.choice("abcdefgh") * 3 for _ in range(9)), "short one"][:: rng.choice((1, -1))]) for i in range(30)}
