@@ -8,7 +8,10 @@ dropped from all documents but the first one that has it, so nothing is lost alt
 A leaf that fewer than `min_docs` documents reach can't hold a recurring template, so only the other leaves' lines are moved. Equal lines
 are counted before they meet in a leaf, and a leaf is read as a sorted stream; a task holds the templates of one leaf at a time.
 
-Nulls: a null text has no lines and stays null. Lines of fewer than `min_tokens` tokens are never dropped. Rows with a null doc_id, or that
+Lines of up to three tokens are in it too, with leaves of equal lines only; their fields are variable where a word stands beside them, so
+that bare numbers are alike only where they are equal.
+
+Nulls: a null text has no lines and stays null. Blank lines are never dropped. Rows with a null doc_id, or that
 repeat one, are handled as one document each id. A document whose lines all go stays, with an empty text. Extra columns pass through; an
 empty table gives an empty result. Ties in frequency are broken by the masked line.
 """
@@ -27,18 +30,24 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches, table
 from .graphs import bitmap, left_joined, present
 
-DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.8, 5, 4
+DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.8, 5, 1
+#: Lines of fewer tokens keep their digits unless a word is left beside the fields.
+SHORT = 4
 FIELD = "<*>"
 DIGIT = re.compile("[0-9]")
+LETTER = re.compile(r"[^\W\d_]")
 SPACES = re.compile("[\x20\x09-\x0d]+")
 
 
 def masked(line: str, min_tokens: int = MIN_TOKENS) -> list[str] | None:
-    """The tokens of a line, variable fields generalised; None for lines too short to judge."""
+    """The tokens of a line, variable fields generalised; None for blank lines."""
     tokens = [t for t in SPACES.split(line) if t]
-    if len(tokens) < min_tokens:
+    if len(tokens) < max(1, min_tokens):
         return None
-    return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
+    if not DIGIT.search(line):
+        return tokens
+    general = [FIELD if DIGIT.search(t) else t for t in tokens]
+    return general if len(tokens) >= SHORT or any(LETTER.search(t) for t in general) else tokens
 
 
 def leaf_of(tokens: list[str], depth: int) -> int:

@@ -171,6 +171,13 @@ def test_line_templates(spark):
     assert line_templates.dedup(frame(spark, {}, False)).count() == 0
 
 
+def test_short_lines_recur(spark):
+    docs = {i: f"Les.\nAll rights reserved.\n\nPage {i}\n{100 + i}\n2024\nonly here x{'abcdefghij'[i]}" for i in range(10)}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup(frame(spark, docs)).collect()}
+    assert got[0] == (docs[0], 0)
+    assert all(got[i] == (f"\n{100 + i}\nonly here x{'abcdefghij'[i]}", 4) for i in range(1, 10))
+
+
 def test_toxicity_on_held_out(spark):
     rng = random.Random(8)
     clean = [f"word{i}" for i in range(300)]
