@@ -2,10 +2,11 @@
 
 A line's tokens that hold a digit are variable fields. The tree's leaf is chosen by the number of tokens and the first `depth` of them;
 in a leaf, lines (the most frequent first) join the first template with which they share `similarity` of their tokens by position,
-and positions on which they differ become variable too. A template that occurs in `min_docs` documents or more is recurring: its lines are
-dropped from all documents but the first one that has it, so nothing is lost altogether.
+and positions on which they differ become variable too. A template that occurs in `min_docs` documents or more is recurring, one of `LONG`
+tokens or more from `repeats` documents on: its lines are dropped from all documents but the first one that has it. So is a line that
+`repeats` documents or more hold word for word, whatever its length. Nothing is lost altogether.
 
-A leaf that fewer than `min_docs` documents reach can't hold a recurring template, so only the other leaves' lines are moved. Equal lines
+A leaf that fewer than `repeats` documents reach can't hold a recurring line, so only the other leaves' lines are moved. Equal lines
 are counted before they meet in a leaf, and a leaf is read as a sorted stream; a task holds the templates of one leaf at a time.
 
 Lines of up to three tokens are in it too, with leaves of equal lines only; their fields are variable where a word stands beside them, so
@@ -28,51 +29,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches, table
-from .graphs import bitmap, left_joined, present
+from .graphs import bitmap, maybe_in, present
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.8, 5, 1
+#: Word-for-word repeats, and templates of so many tokens, recur from so many documents on.
+REPEATS, LONG = 2, 50
 #: Lines of fewer tokens keep their digits unless a word is left beside the fields.
 SHORT = 4
-FIELD = "<*>"
-DIGIT = re.compile("[0-9]")
+FIELD = b"<*>"
+DIGIT = re.compile(b"[0-9]")
 LETTER = re.compile(r"[^\W\d_]")
-SPACES = re.compile("[\x20\x09-\x0d]+")
 
 
-def masked(line: str, min_tokens: int = MIN_TOKENS) -> list[str] | None:
-    """The tokens of a line, variable fields generalised; None for blank lines."""
-    tokens = [t for t in SPACES.split(line) if t]
-    if len(tokens) < max(1, min_tokens):
-        return None
+def masked(tokens: list[bytes], line: bytes) -> list[bytes]:
+    """The tokens of a line, variable fields generalised."""
     if not DIGIT.search(line):
         return tokens
     general = [FIELD if DIGIT.search(t) else t for t in tokens]
-    return general if len(tokens) >= SHORT or any(LETTER.search(t) for t in general) else tokens
+    return general if len(tokens) >= SHORT or any(LETTER.search(t.decode()) for t in general) else tokens
 
 
-def leaf_of(tokens: list[str], depth: int) -> int:
-    return xxhash.xxh3_64_intdigest("\x00".join([str(len(tokens)), *tokens[:depth]])) - 2**63
+def leaf_of(tokens: list[bytes], depth: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"\x00".join([b"%d" % len(tokens), *tokens[:depth]])) - 2**63
 
 
-def key_of(tokens: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest("\x00".join(tokens))
+def key_of(tokens: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b"\x00".join(tokens))
 
 
 def lines_of(text: str | None, min_tokens: int):
-    for line in (text or "").split("\n"):
-        if (m := masked(line, min_tokens)) is not None:
-            yield m
+    """(tokens, masked tokens) of all lines but blank ones. bytes.split() splits at ASCII white space."""
+    for line in (text or "").encode().split(b"\n"):
+        tokens = line.split()
+        if len(tokens) >= max(1, min_tokens):
+            yield tokens, masked(tokens, line)
 
 
 class Leaf:
     """Templates of one leaf, as rows of token numbers; 0 is a variable field."""
 
     def __init__(self, width: int):
-        self.numbers: dict[str, int] = {FIELD: 0}
+        self.numbers: dict[bytes, int] = {FIELD: 0}
         self.rows = np.zeros((16, width), dtype=np.int64)
         self.names: list[bytes] = []
 
-    def place(self, tokens: list[str], similarity: float) -> bytes:
+    def place(self, tokens: list[bytes], similarity: float) -> bytes:
         row = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens])
         n = len(self.names)
         if n:
@@ -88,8 +89,8 @@ class Leaf:
         return self.names[-1]
 
 
-def templates(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, keys): the masked lines that a document loses."""
+def templates(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, repeats: int = REPEATS) -> DataFrame:
+    """(doc_id, keys): the lines, word for word, that a document loses."""
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select("doc_id", "text")
@@ -99,49 +100,60 @@ def templates(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
         for pdf in batches:
             ids, leaves = [], []
             for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                got = {leaf_of(m, depth) for m in lines_of(text, min_tokens)}
+                got = {leaf_of(m, depth) for _, m in lines_of(text, min_tokens)}
                 ids += [key] * len(got)
                 leaves += got
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "leaf": pd.Series(leaves, dtype="int64")})
 
-    reached = d.mapInPandas(reach, f"doc_id {kind}, leaf bigint").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    reached = d.mapInPandas(reach, f"doc_id {kind}, leaf bigint").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min(repeats, min_docs))
     bits = spark.sparkContext.broadcast(bitmap(reached, "leaf"))
 
     def emit(batches):
+        """A row for each distinct line of a document; the first of those with one masked form carries it."""
         for pdf in batches:
-            ids, leaves, keys, lines = [], [], [], []
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                got = {key_of(m): m for m in lines_of(text, min_tokens)}
+            ids, leaves, raws, keys, lines = [], [], [], [], []
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                got = list(lines_of(text, min_tokens))
                 if not got:
                     continue
-                leaf = np.array([leaf_of(m, depth) for m in got.values()], dtype=np.int64)
-                for on, x, (k, m) in zip(present(bits.value, leaf), leaf, got.items(), strict=True):
-                    if on:
-                        ids.append(key)
+                leaf = np.array([leaf_of(m, depth) for _, m in got], dtype=np.int64)
+                seen: set[bytes] = set()
+                forms: set[bytes] = set()
+                for on, x, (tokens, m) in zip(present(bits.value, leaf), leaf, got, strict=True):
+                    if on and (raw := key_of(tokens)) not in seen:
+                        seen.add(raw)
+                        key = raw if m is tokens else key_of(m)
+                        ids.append(doc)
                         leaves.append(x)
-                        keys.append(k)
-                        lines.append("\x00".join(m))
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "leaf": pd.Series(leaves, dtype="int64"), "key": pd.Series(keys, dtype=object), "line": pd.Series(lines, dtype=object)})
+                        raws.append(raw)
+                        keys.append(key)
+                        lines.append(None if key in forms else b"\x00".join(m))
+                        forms.add(key)
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "leaf": pd.Series(leaves, dtype="int64"), "raw": pd.Series(raws, dtype=object), "key": pd.Series(keys, dtype=object), "line": pd.Series(lines, dtype=object)})
 
-    found = cut(d.mapInPandas(emit, f"doc_id {kind}, leaf bigint, key binary, line string"))
+    found = cut(d.mapInPandas(emit, f"doc_id {kind}, leaf bigint, raw binary, key binary, line binary"))
 
     def parse(batches):
         leaf, tree = None, None
         for pdf in batches:
-            names = []
+            names, needs = [], []
             for x, line in zip(pdf["leaf"], pdf["line"], strict=True):
-                tokens = line.split("\x00")
+                tokens = bytes(line).split(b"\x00")
                 if x != leaf:
                     leaf, tree = x, Leaf(len(tokens))
                 names.append(tree.place(tokens, similarity) if len(tokens) == tree.rows.shape[1] else key_of(tokens))
-            yield pd.DataFrame({"key": pdf["key"], "template": pd.Series(names, dtype=object)})
+                needs.append(min(repeats, min_docs) if len(tokens) >= LONG else min_docs)
+            yield pd.DataFrame({"key": pdf["key"], "template": pd.Series(names, dtype=object), "need": pd.Series(needs, dtype="int64")})
+
+    counted = found.where("line is not null").groupBy("leaf", "key", "line").agg(F.count("*").alias("n"))
+    parsed = cut(counted.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").mapInPandas(parse, "key binary, template binary, need bigint"))
+    used = cut(found.select("doc_id", "raw", "key").join(parsed, "key").select("doc_id", "raw", "template", "need"))
+
+    def lost(by: str, need) -> DataFrame:
+        many = used.select(by, "need", "doc_id").distinct().groupBy(by).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.min("need").alias("need")).where(F.col("docs") >= need).select(by, "first")
+        return used.join(many, by).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "raw")
 
-    counted = found.groupBy("leaf", "key", "line").agg(F.count("*").alias("n"))
-    parsed = cut(counted.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line").mapInPandas(parse, "key binary, template binary"))
-    used = cut(found.select("doc_id", "key").join(parsed, "key").select("doc_id", "key", "template"))
-    recurring = used.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    drop = used.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return drop.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return lost("template", F.col("need")).union(lost("raw", F.lit(repeats))).groupBy("doc_id").agg(F.collect_set("raw").alias("keys"))
 
 
 def without(text: str | None, keys, min_tokens: int) -> tuple[str | None, int, int]:
@@ -152,20 +164,24 @@ def without(text: str | None, keys, min_tokens: int) -> tuple[str | None, int, i
     if keys is None:
         return text, len(lines), 0
     gone = {bytes(k) for k in keys}
-    kept = [x for x in lines if (m := masked(x, min_tokens)) is None or key_of(m) not in gone]
+    kept = [x for x in lines if len(t := x.encode().split()) < max(1, min_tokens) or key_of(t) not in gone]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """The documents without recurring lines: text is what is left; n_lines and n_dropped are added."""
-    drop = cut(templates(docs, depth, similarity, min_docs, min_tokens).withColumnRenamed("doc_id", "__id"))
+def dedup(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, repeats: int = REPEATS) -> DataFrame:
+    """The documents without recurring lines: text is what is left; n_lines and n_dropped are added. Only documents that may lose lines
+    are moved or go to Python."""
+    drop = cut(templates(docs, depth, similarity, min_docs, min_tokens, repeats).withColumnRenamed("doc_id", "__id"))
 
     def apply(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([without(t, k, min_tokens) for t, k in zip(texts, keys, strict=True)], columns=["text", "lines", "dropped"])
 
     run = F.pandas_udf(apply, "text string, lines bigint, dropped bigint")
-    joined = left_joined(docs, drop, "doc_id", "__id").withColumn("__out", run("text", "keys"))
-    return joined.withColumn("text", F.col("__out.text")).select(*docs.columns, F.col("__out.lines").alias("n_lines"), F.col("__out.dropped").alias("n_dropped"))
+    mine = maybe_in(drop, "__id")(F.col("doc_id"))
+    joined = docs.where(mine).join(drop, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("__out", run("text", "keys"))
+    some = joined.withColumn("text", F.col("__out.text")).select(*docs.columns, F.col("__out.lines").alias("n_lines"), F.col("__out.dropped").alias("n_dropped"))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    return some.union(docs.where(~mine).select(*docs.columns, lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,15 +189,19 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def brute(texts: dict[int, str | None], depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> dict[int, tuple[int, int, str]]:
+def brute(texts: dict[int, str | None], depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, repeats: int = REPEATS) -> dict[int, tuple[int, int, str]]:
     """For tests: the same tree in one process."""
     docs_of: dict[tuple, set] = {}
+    holders: dict[tuple, set] = {}
+    form: dict[tuple, tuple] = {}
     for k, t in texts.items():
-        for m in lines_of(t, min_tokens):
+        for tokens, m in lines_of(t, min_tokens):
             docs_of.setdefault(tuple(m), set()).add(k)
+            holders.setdefault(tuple(tokens), set()).add(k)
+            form[tuple(tokens)] = tuple(m)
     trees: dict[tuple, list] = {}
-    name: dict[tuple, int] = {}
-    for m in sorted(docs_of, key=lambda m: (-len(docs_of[m]), "\x00".join(m))):
+    name: dict[tuple, list] = {}
+    for m in sorted(docs_of, key=lambda m: (-len(docs_of[m]), b"\x00".join(m))):
         leaf = trees.setdefault((len(m), m[:depth]), [])
         for t in leaf:
             if sum(a == b for a, b in zip(t[1], m, strict=True)) / len(m) >= similarity:
@@ -192,9 +212,18 @@ def brute(texts: dict[int, str | None], depth: int = DEPTH, similarity: float =
         else:
             leaf.append([m, list(m), set(docs_of[m])])
             name[m] = leaf[-1]
+
+    def stays(line: str, k: int) -> bool:
+        tokens = tuple(line.encode().split())
+        if tokens not in form:
+            return True
+        same, alike = holders[tokens], name[form[tokens]][2]
+        need = min(repeats, min_docs) if len(tokens) >= LONG else min_docs
+        return (len(same) < repeats or min(same) == k) and (len(alike) < need or min(alike) == k)
+
     out = {}
     for k, t in texts.items():
         lines = t.split("\n") if t is not None else []
-        kept = [x for x in lines if (m := masked(x, min_tokens)) is None or len(name[tuple(m)][2]) < min_docs or min(name[tuple(m)][2]) == k]
+        kept = [x for x in lines if stays(x, k)]
         out[k] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     return out

@@ -178,6 +178,19 @@ def test_short_lines_recur(spark):
     assert all(got[i] == (f"\n{100 + i}\nonly here x{'abcdefghij'[i]}", 4) for i in range(1, 10))
 
 
+def test_lines_of_two_documents_recur(spark):
+    passage = [f"w{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(60)]
+    docs = {1: " ".join(passage) + "\nown line of the first one", 2: "something else here\n" + " ".join(passage), 3: " ".join([*passage[:30], "changed", *passage[31:]])}
+    docs |= {4: "job 17 ended at 9 h\nsame words in two places 5", 5: "job 18 ended at 8 h\nsame words in two places 5", None: "same words in two places 5\nleft"}
+    got = {r.doc_id: r.text for r in line_templates.dedup(frame(spark, docs)).collect()}
+    assert got == {1: docs[1], 2: "something else here", 3: "", 4: docs[4], 5: "job 18 ended at 8 h", None: "left"}
+    rng = random.Random(6)
+    docs = {i: "\n".join(" ".join(rng.choice(("user", "left", f"n{rng.randrange(3)}", "7")) for _ in range(rng.choice((1, 2, 3, 5)))) for _ in range(12)) for i in range(25)}
+    docs |= {i: docs[i - 25] + "\n" + docs[i - 24] for i in (30, 31)}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in line_templates.dedup(frame(spark, docs)).collect()}
+    assert got == line_templates.brute(docs)
+
+
 def test_toxicity_on_held_out(spark):
     rng = random.Random(8)
     clean = [f"word{i}" for i in range(300)]
