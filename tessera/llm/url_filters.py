@@ -18,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, cut, table
 
 BLOCK = "=block"
 #: The rules that the query applies before the learned ones (host, path, verdict).
@@ -64,10 +64,12 @@ def fixed_rule(h: Column, p: Column, rules=FIXED_RULES) -> tuple[Column, Column]
 
 @dataclass(frozen=True)
 class UrlRules:
-    """Learned rules: (antecedent tokens, confidence, support). At most `max_rules` of them, so they fit in every task."""
+    """Learned rules: (antecedent tokens, confidence, support). At most `max_rules` of them, so they fit in every task; `rest` holds those
+    beyond, if any, as (key, a, confidence), the key being the rarest token."""
 
     rules: tuple[tuple[tuple[str, ...], float, float], ...]
     rarity: dict[str, int]
+    rest: DataFrame | None = None
 
     def index(self) -> dict[str, list[tuple[frozenset, float]]]:
         """From the rarest token of each rule to the rule."""
@@ -92,24 +94,37 @@ class UrlRules:
 
 
 def mine(labelled: DataFrame, toks: str = "tokens", bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.5, max_rules: int = 10_000) -> UrlRules:
-    """Rules from all labelled URLs. `max_rules` bounds the model, not the data: the most confident rules stay, then the best supported."""
+    """Rules from all labelled URLs. `max_rules` bounds what each task holds: the most confident rules, then the best supported; the others are matched by a join."""
     items = labelled.where(F.col(bad).isNotNull() & (F.size(toks) > 0)).select(F.concat(F.col(toks), F.when(F.col(bad) == 1, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     if items.isEmpty():
         return UrlRules((), {})
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.element_at("consequent", 1) == BLOCK).where(F.col("lift") > 1)
-    rows = found.select(F.array_sort("antecedent").alias("a"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), F.size("a"), "a").limit(max_rules).collect()
-    kept: list = []
-    seen: dict[str, list[frozenset]] = {}
-    for r in sorted(rows, key=lambda r: (len(r.a), -r.confidence, r.a)):
-        ante = frozenset(r.a)
-        if any(small <= ante and conf >= r.confidence for t in ante for small, conf in seen.get(t, ())):
-            continue
-        kept.append((tuple(sorted(ante)), r.confidence, r.support))
-        seen.setdefault(min(ante), []).append((ante, r.confidence))
-    used = {t for a, _, _ in kept for t in a}
-    single = model.freqItemsets.where(F.size("items") == 1).where(F.element_at("items", 1).isin(sorted(used))).collect() if used else []
-    return UrlRules(tuple(kept), {r["items"][0]: r["freq"] for r in single})
+    every = cut(found.select(F.array_sort("antecedent").alias("a"), "confidence", "support"))
+    # A rule is redundant if a part of it is as confident.
+    less = every.select(F.element_at("a", 1).alias("t"), F.col("a").alias("part"), F.col("confidence").alias("as"))
+    within = (F.size("part") < F.size("a")) & (F.col("as") >= F.col("confidence")) & (F.size(F.array_except("part", "a")) == 0)
+    redundant = every.select("a", "confidence", F.explode("a").alias("t")).join(less, "t").where(within).select("a").distinct()
+    kept = cut(every.join(redundant, "a", "left_anti"))
+    rows = kept.orderBy(F.desc("confidence"), F.desc("support"), F.size("a"), "a").limit(max_rules).collect()
+    rows = sorted(((tuple(r.a), r.confidence, r.support) for r in rows), key=lambda r: (len(r[0]), -r[1], r[0]))
+    used = {t for a, _, _ in rows for t in a}
+    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), "freq")
+    rest = None
+    if kept.count() > len(rows):
+        held = labelled.sparkSession.createDataFrame([(list(a),) for a, _, _ in rows], "a array<string>")
+        rarest = F.min_by("t", F.struct("freq", "t")).alias("key")
+        rest = cut(kept.join(held, "a", "left_anti").select("a", "confidence", F.explode("a").alias("t")).join(single, "t").groupBy("a", "confidence").agg(rarest).select("key", "a", "confidence"))
+    return UrlRules(tuple(rows), {r.t: r.freq for r in single.where(F.col("t").isin(sorted(used))).collect()} if used else {}, rest)
+
+
+def with_rest(pages: DataFrame, toks: Column, rest: DataFrame) -> DataFrame:
+    """Adds the highest confidence among the rules of `rest` that fit, as __rest; each set of tokens is matched once."""
+    own = pages.withColumn("__tokens", toks)
+    sets = own.select("__tokens").where(F.size("__tokens") > 0).distinct()
+    fits = sets.select("__tokens", F.explode(F.array_distinct("__tokens")).alias("key")).join(rest, "key").where(F.size(F.array_except("a", "__tokens")) == 0)
+    best = fits.groupBy("__tokens").agg(F.max("confidence").alias("__rest"))
+    return own.join(best, "__tokens", "left").drop("__tokens")
 
 
 def judge(pages: DataFrame, learned: UrlRules, url: str = "url", fixed=FIXED_RULES, threshold: float = 0.5) -> DataFrame:
@@ -118,7 +133,9 @@ def judge(pages: DataFrame, learned: UrlRules, url: str = "url", fixed=FIXED_RUL
     h, p = host(u), path(u)
     rule, by_rule = fixed_rule(h, p, fixed)
     conf = learned.score(tokens(u))
-    out = pages.withColumns({"host": h, "path": p, "rule": rule, "block_confidence": conf})
+    if learned.rest is not None:
+        pages, conf = with_rest(pages, tokens(u), learned.rest), F.greatest(conf, "__rest")
+    out = pages.withColumns({"host": h, "path": p, "rule": rule, "block_confidence": conf}).drop("__rest")
     return out.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("block_confidence") >= threshold, "block").otherwise("allow")))
 
 

@@ -151,6 +151,16 @@ def test_learned_url_rules(spark):
     assert url_filters.mine(df.where("false")).rules == () and url_filters.mine(df.where("bad = 0")).rules == ()
 
 
+def test_url_rules_beyond_the_bound_are_joined(spark):
+    rng = random.Random(7)
+    urls = [(i, f"http://{h}.site.com/{p}/{q}", int(h == "bets" or p == "x" and rng.random() < 0.8)) for i in range(400) for h, p, q in [(rng.choice(("bets", "blog", "www")), rng.choice("xy"), rng.choice("mn"))]]
+    df = spark.createDataFrame([*urls, (None, None, None)], "id int, url string, bad int")
+    rules = lambda most: url_filters.mine(df.withColumn("tokens", url_filters.tokens(F.col("url"))), max_rules=most)
+    got = [sorted((r.id or -1, r.verdict, r.block_confidence or 0.0) for r in url_filters.judge(df, rules(most)).collect()) for most in (1, 10_000)]
+    assert got[0] == got[1] and len(got[0]) == 401
+    assert len({c for _, _, c in got[0]}) > 2
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, size=(1500, 1))
