@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """`cut`, then read in no more partitions than its rows ask for: a small table, as links are at first, goes through joins in few tasks
+    and leaves few files, a large one stays as it is."""
+    kept = cut(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import compact
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b), root being the least node of its component: large-star and small-star in turn until
     nothing changes. Links are kept in the shared folder between rounds."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = compact(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = cut(small)
+        edges = compact(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == mark:
             break
@@ -47,8 +46,6 @@ def present(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-
-
 def maybe_in(ids: DataFrame, column: str, bits: int = 1 << 25):
     """A test for bigint columns: true for every value of `ids`, and by chance for few others. Its size is fixed, so every task can hold it,
     and rows that fail it need no join with `ids`."""
