@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact
+from .common import compact, cut, fresh
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,10 +46,17 @@ def present(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def maybe_in(ids: DataFrame, column: str, bits: int = 1 << 25):
-    """A test for bigint columns: true for every value of `ids`, and by chance for few others. Its size is fixed, so every task can hold it,
-    and rows that fail it need no join with `ids`."""
-    shared = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(F.col(column).cast("long")).alias("h")), "h", bits))
+#: The largest test that `maybe_in` makes, in bits: 32 MB.
+MOST = 1 << 28
+
+
+def maybe_in(ids: DataFrame, column: str, rows: int | None = None):
+    """A test for bigint columns: true for every value of `ids`, and by chance for few others. It has 16 bits for each of the `rows` ids and
+    `MOST` at most, so every task can hold it, and rows that fail it need no join with `ids`. With more ids than it can tell apart, more
+    rows take part in that join; none is lost."""
+    n = ids.count() if rows is None else rows
+    size = min(MOST, 1 << max(20, (16 * n).bit_length()))
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64(F.col(column).cast("long")).alias("h")), "h", size))
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
@@ -65,3 +72,11 @@ def left_joined(df: DataFrame, right: DataFrame, key: str, right_key: str) -> Da
     joined = df.where(mine).join(right, F.col(key).eqNullSafe(F.col(right_key)), "left")
     rest = df.where(~mine)
     return joined.unionByName(rest, allowMissingColumns=True)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key isn't in `ids` (one column of that name, null among its values): only rows that may be in it are moved."""
+    name = fresh(key)
+    gone = cut(ids.select(F.col(key).alias(name)).distinct())
+    mine = maybe_in(gone, name)(F.col(key))
+    return df.where(~mine).union(df.where(mine).join(gone, F.col(key).eqNullSafe(F.col(name)), "left_anti"))

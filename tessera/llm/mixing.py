@@ -8,7 +8,8 @@ place in the stream gives the document's training position. The mix is the docum
 
 Nulls: a null text has size 0; null sources are one source, last in order. A document of size 0 takes nothing. Repeated rows each count;
 ties in the order by hash are broken by doc_id, then size, and rows that are equal in all of it are interchangeable. Internal columns
-begin with `__mix_`. An empty table gives an empty result. The order by hash doesn't depend on partitions, so reruns agree.
+begin with `__mix_`; a table with a column named like a result (source_size, target, taken, parts) is refused by `mix`, while `curriculum`
+takes any names and returns them as they were. An empty table gives an empty result. The order by hash doesn't depend on partitions, so reruns agree.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, table, words
+from .common import cut, fresh, n_words, table, words
 
 #: Weights of the sources in order by code point, repeating, and the schedule of each (weight at the start, weight at the end).
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 SCHEDULES = ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5))
-BUCKETS = 1024
+#: Documents in a range of the hash, about.
+EACH = 2048
 
 
 def pick(values: Sequence[float], rank: str) -> Column:
@@ -64,17 +66,24 @@ def inverse(start: Column, end: Column, u: Column) -> Column:
 def mix(docs: DataFrame, source: str = "source", size: str = "size", key: str = "doc_id", weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Adds source_size, target, taken, and `parts`: an array of (position, words) for each time the document is used.
 
-    Running sums within a source go by buckets of the hash, so a source that holds most rows is spread over BUCKETS tasks."""
-    d = docs.withColumns({"__mix_source": F.col(source), "__mix_size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__mix_h": F.xxhash64(F.col(key), F.lit(9))})
-    d = d.withColumn("__mix_bucket", F.shiftrightunsigned("__mix_h", 64 - (BUCKETS - 1).bit_length()).cast("int"))
-    sums = cut(d.groupBy("__mix_source", "__mix_bucket").agg(F.sum("__mix_size").alias("n")))
-    goal = targets(sums.groupBy(F.col("__mix_source").alias("source")).agg(F.sum("n").alias("source_size")), weights, share, cap)
+    Running sums within a source go by ranges of the hash, as many as the rows ask for, so a source that holds most rows is spread over
+    many tasks. Documents are moved once, for the join with these sums and for the sums within a range."""
+    taken_names = [c for c in ("source_size", "target", "taken", "parts") if c in docs.columns]
+    if taken_names:
+        raise ValueError(f"the table has columns named as results: {', '.join(taken_names)}")
+    # A text key, so that the join with the sums and the window ask for the same partitions: null is apart from every source.
+    name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+    d = docs.withColumns({"__mix_source": name, "__mix_size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__mix_h": F.xxhash64(F.col(key), F.lit(9))})
+    bits = max(1, (docs.count() // EACH).bit_length())
+    d = d.withColumn("__mix_bucket", F.shiftrightunsigned("__mix_h", 64 - bits))
+    sums = cut(d.groupBy("__mix_source", "__mix_bucket").agg(F.sum("__mix_size").alias("n"), F.first(source).alias("source")))
+    goal = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
     goal = goal.withColumns({"start": pick([a for a, _ in schedules], "rank"), "end": pick([b for _, b in schedules], "rank")})
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = sums.select("__mix_source", "__mix_bucket", before.alias("before"))
-    at = at.join(goal, F.col("__mix_source").eqNullSafe(F.col("source")))
-    at = at.select(F.col("__mix_source").alias("__mix_s"), F.col("__mix_bucket").alias("__mix_b"), *[F.col(c).alias(f"__mix_{c}") for c in ("before", "source_size", "target", "start", "end")])
-    d = d.join(at, F.col("__mix_source").eqNullSafe(F.col("__mix_s")) & (F.col("__mix_bucket") == F.col("__mix_b")))
+    at = sums.select("__mix_source", "__mix_bucket", F.col("source").alias("__mix_s"), before.alias("before"))
+    at = at.join(goal, F.col("__mix_s").eqNullSafe(F.col("source")))
+    at = at.select("__mix_source", "__mix_bucket", *[F.col(c).alias(f"__mix_{c}") for c in ("before", "source_size", "target", "start", "end")])
+    d = d.join(at, ["__mix_source", "__mix_bucket"])
     w = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_h", key, "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__mix_from", F.col("__mix_before") + F.coalesce(F.sum("__mix_size").over(w), F.lit(0)))
     goal_words = F.round("__mix_target").cast("long")
@@ -89,10 +98,13 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", key: str =
 def curriculum(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The mix itself: documents in training order, one row for each time a document is used; the document at which a source's target is
     reached has its first words, joined by one space. Columns are those of `docs`."""
-    mixed = mix(docs.withColumn("__size", n_words(F.col(text))), size="__size", **how)
-    rows = mixed.withColumn("__part", F.explode("parts"))
-    cut_text = F.when(F.col("__part.words") < F.col("__size"), F.concat_ws(" ", F.slice(words(F.col(text)), F.lit(1), F.col("__part.words").cast("int")))).otherwise(F.col(text))
-    return rows.withColumn(text, cut_text).orderBy("__part.position", *[c for c in ("doc_id",) if c in docs.columns]).select(*docs.columns)
+    own = {c: fresh(c) for c in docs.columns}  # the caller's names, out of the way of the results'
+    d = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns], n_words(F.col(text)).alias("__mix_words"))
+    names = {k: own[how.pop(k, v)] for k, v in (("source", "source"), ("key", "doc_id"))}
+    rows = mix(d, size="__mix_words", **names, **how).withColumn("__mix_part", F.explode("parts"))
+    first = F.concat_ws(" ", F.slice(words(F.col(own[text])), F.lit(1), F.col("__mix_part.words").cast("int")))
+    rows = rows.withColumn(own[text], F.when(F.col("__mix_part.words") < F.col("__mix_words"), first).otherwise(F.col(own[text])))
+    return rows.orderBy("__mix_part.position", names["key"]).select(*[F.col(own[c]).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, partitions, small_batches, table
 
@@ -25,7 +26,7 @@ LENGTH = 1024
 #: Remainders are told apart by this many tokens: the linear program has LENGTH / GRAIN rows, and a piece wastes GRAIN / 2 tokens on average.
 GRAIN = 4
 END = 0
-PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
+PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 
 class Tokens:
@@ -56,7 +57,8 @@ class Tokens:
 
 
 def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """Each document's pieces: full ones and the remainder. `ids` is null unless asked for."""
+    """Each document's pieces: full ones and the remainder. `ids` is null unless asked for; it holds little-endian integers of two bytes
+    where all ids of a piece fit, else of four."""
 
     def run(batches):
         tokens = Tokens(tokenizer)
@@ -66,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int =
                 ids = np.asarray([*tokens.ids(text or ""), END], dtype="<u4")
                 for at in range(0, len(ids), length):
                     one = ids[at : at + length]
-                    rows.append((key, at, len(one), zlib.crc32(one.tobytes()), len(ids), one.astype("int32") if with_ids else None))
+                    rows.append((key, at, len(one), zlib.crc32(one.tobytes()), len(ids), (one.astype("<u2") if one.max() < 1 << 16 else one).tobytes() if with_ids else None))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     small_batches(docs.sparkSession)
@@ -238,6 +240,20 @@ def pack(parts: DataFrame, length: int = LENGTH, grain: int = GRAIN, gap: float
     return p.select(*parts.columns, "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
 
 
+def sequences(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH) -> DataFrame:
+    """Every piece with its place and its ids, as array<int>. Texts are tokenized once; places are found without the ids, which are moved
+    once, to meet them."""
+    parts = cut(pieces(docs, tokenizer, length).withColumn("__piece", F.monotonically_increasing_id()))
+    placed = pack(parts.drop("ids"), length)
+    joined = placed.join(parts.select("__piece", "ids"), "__piece").drop("__piece")
+    return joined.withColumn("ids", unpacked(F.col("length"), F.col("ids")))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def unpacked(length: pd.Series, ids: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(b, "<u2" if len(b) == 2 * n else "<u4").astype("int32") for n, b in zip(length, ids, strict=True)], dtype=object)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place. Tokens are read once: the pieces, without ids, are kept in the shared folder."""
     parts = cut(pieces(table(spark, sf_dir, "documents"), with_ids=False).drop("ids"))

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +106,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
     def count(batches):
         total: Counter = Counter()
         positive = [Counter() for _ in range(n_cat)]
+
+        def counted() -> pd.DataFrame:
+            out = pd.DataFrame([(f, n, [p[f] for p in positive]) for f, n in total.items()], columns=["feature", "n", "positive"])
+            for c in (total, *positive):
+                c.clear()
+            return out
+
         for pdf in batches:
             for text, *ys in zip(pdf["text"], *[pdf[c] for c in categories], strict=True):
                 got = features(text)
@@ -112,9 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
                 for c, y in zip(positive, ys, strict=True):
                     if y == 1:
                         c.update(got)
-        items = [(f, n, [p[f] for p in positive]) for f, n in total.items()]
-        for at in range(0, len(items), 50_000):
-            yield pd.DataFrame(items[at : at + 50_000], columns=["feature", "n", "positive"])
+                if len(total) > 100_000:  # what a task holds doesn't grow with its texts
+                    yield counted()
+        yield counted()
 
     counts = rows.mapInPandas(count, "feature string, n bigint, positive array<bigint>")
     counts = cut(counts.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(F.get("positive", F.lit(i))).alias(f"p{i}") for i in range(n_cat)]).where("n >= 4"))
@@ -132,14 +140,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
     def found(batches):
         a = chain.automaton()
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"], "hits": [chain.hits(a, t) for t in pdf["text"]], "y": [[-1 if v is None or v != v else int(v) for v in ys] for ys in zip(*[pdf[c] for c in categories], strict=True)]})
+            yield pd.DataFrame({"id": pdf["doc_id"], "fold": [xxhash.xxh3_64_intdigest(normal(t)) % folds for t in pdf["text"]], "hits": [chain.hits(a, t) for t in pdf["text"]], "y": [[-1 if v is None or v != v else int(v) for v in ys] for ys in zip(*[pdf[c] for c in categories], strict=True)]})
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    data = sorted(rows.mapInPandas(found, f"id {id_kind}, hits array<int>, y array<int>").collect(), key=lambda r: (r.id, r.y, r.hits))
+    data = sorted(rows.mapInPandas(found, f"id {id_kind}, fold int, hits array<int>, y array<int>").collect(), key=lambda r: (r.id, r.y, r.hits))
     n, dim = len(data), len(chain.vocabulary)
     cols = np.array([c for r in data for c in r.hits], dtype=int)
     at = np.repeat(np.arange(n), [len(r.hits) for r in data]) if n else np.zeros(0, dtype=int)
-    fold = np.arange(n) % folds
+    fold = np.array([r.fold for r in data], dtype=int)  # copies of a text are in one fold
     dense = np.zeros((n, 0))
 
     def train(mask: np.ndarray, y: np.ndarray) -> np.ndarray:
