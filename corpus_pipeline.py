@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, line_templates, mixing, packing, toxicity
-from tessera.llm.common import cut, shared_dir, table
+from tessera.llm.common import shared_dir, table
+from tessera.llm.graphs import without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,10 +28,10 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the smallest doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the smallest doc_id. Rows with
+    one doc_id stay or go together; a null id goes where its group has another."""
     groups = jaccard_join.joined(docs, n=5, num=80, den=100)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "doc_id")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their ids and places in sequences."""
-    return packing.pack(cut(packing.pieces(docs)))
+    return packing.sequences(docs)
 
 
 STAGES = [
