@@ -13,8 +13,8 @@ Lines of up to three tokens are in it too, with leaves of equal lines only; thei
 that bare numbers are alike only where they are equal.
 
 Nulls: a null text has no lines and stays null. Blank lines are never dropped. Rows with a null doc_id, or that
-repeat one, are handled as one document each id. A document whose lines all go stays, with an empty text. Extra columns pass through; an
-empty table gives an empty result. Ties in frequency are broken by the masked line.
+repeat one, are handled as one document each id. A document whose lines all go stays, with an empty text. Extra columns pass through under any
+names but those of the results, which the caller chooses; an empty table gives an empty result. Ties in frequency are broken by the masked line.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, small_batches, table
 from .graphs import bitmap, maybe_in, present
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.8, 5, 1
@@ -66,25 +66,37 @@ def lines_of(text: str | None, min_tokens: int):
 
 
 class Leaf:
-    """Templates of one leaf, as rows of token numbers; 0 is a variable field."""
-
-    def __init__(self, width: int):
-        self.numbers: dict[bytes, int] = {FIELD: 0}
-        self.rows = np.zeros((16, width), dtype=np.int64)
+    """Templates of one leaf, in the order they came. A line and a template that share enough tokens differ in `most` positions at most, so
+    of most + 1 groups of positions one is equal in both: an index of the groups' tokens finds all templates a line can join, without a
+    comparison with every one of them."""
+
+    def __init__(self, width: int, similarity: float):
+        self.width, self.similarity = width, similarity
+        self.most = int(width * (1 - similarity) + 1e-9)
+        self.groups = min(self.most + 1, width)
+        self.rows: list[list[bytes]] = []
         self.names: list[bytes] = []
-
-    def place(self, tokens: list[bytes], similarity: float) -> bytes:
-        row = np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens])
-        n = len(self.names)
-        if n:
-            same = (self.rows[:n] == row).mean(axis=1)
-            if (same >= similarity).any():
-                i = int((same >= similarity).argmax())
-                self.rows[i][self.rows[i] != row] = 0
+        self.index: dict[tuple, list[int]] = {}
+
+    def keys(self, tokens: list[bytes]) -> list[tuple]:
+        return [(g, *tokens[g :: self.groups]) for g in range(self.groups)]
+
+    def place(self, tokens: list[bytes]) -> bytes:
+        """The name of the first template that the line joins, or of a new one. Positions that differ become variable."""
+        found = range(len(self.rows)) if self.most >= self.width else sorted({i for k in self.keys(tokens) for i in self.index.get(k, ())})
+        for i in found:
+            row = self.rows[i]
+            if sum(map(bytes.__eq__, row, tokens)) >= self.similarity * self.width - 1e-9:
+                general = [a if a == b else FIELD for a, b in zip(row, tokens, strict=True)]
+                for old, new in zip(self.keys(row), self.keys(general), strict=True):
+                    if old != new:
+                        self.index[old].remove(i)
+                        self.index.setdefault(new, []).append(i)
+                self.rows[i] = general
                 return self.names[i]
-        if n == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = row
+        for k in self.keys(tokens):
+            self.index.setdefault(k, []).append(len(self.rows))
+        self.rows.append(tokens)
         self.names.append(key_of(tokens))
         return self.names[-1]
 
@@ -140,8 +152,8 @@ def templates(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
             for x, line in zip(pdf["leaf"], pdf["line"], strict=True):
                 tokens = bytes(line).split(b"\x00")
                 if x != leaf:
-                    leaf, tree = x, Leaf(len(tokens))
-                names.append(tree.place(tokens, similarity) if len(tokens) == tree.rows.shape[1] else key_of(tokens))
+                    leaf, tree = x, Leaf(len(tokens), similarity)
+                names.append(tree.place(tokens) if len(tokens) == tree.width else key_of(tokens))
                 needs.append(min(repeats, min_docs) if len(tokens) >= LONG else min_docs)
             yield pd.DataFrame({"key": pdf["key"], "template": pd.Series(names, dtype=object), "need": pd.Series(needs, dtype="int64")})
 
@@ -168,20 +180,24 @@ def without(text: str | None, keys, min_tokens: int) -> tuple[str | None, int, i
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, repeats: int = REPEATS) -> DataFrame:
-    """The documents without recurring lines: text is what is left; n_lines and n_dropped are added. Only documents that may lose lines
-    are moved or go to Python."""
-    drop = cut(templates(docs, depth, similarity, min_docs, min_tokens, repeats).withColumnRenamed("doc_id", "__id"))
+def dedup(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, repeats: int = REPEATS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """The documents without recurring lines: text is what is left; two columns are added. Only documents that may lose lines are moved or
+    go to Python."""
+    if clash := {n_lines, n_dropped} & set(docs.columns):
+        raise ValueError(f"the table has columns named as results: {', '.join(sorted(clash))}")
+    id_, keys, out = fresh("id"), fresh("keys"), fresh("out")
+    drop = templates(docs, depth, similarity, min_docs, min_tokens, repeats)
+    drop = cut(drop.select(F.col("doc_id").alias(id_), F.col("keys").alias(keys)))
 
     def apply(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([without(t, k, min_tokens) for t, k in zip(texts, keys, strict=True)], columns=["text", "lines", "dropped"])
 
     run = F.pandas_udf(apply, "text string, lines bigint, dropped bigint")
-    mine = maybe_in(drop, "__id")(F.col("doc_id"))
-    joined = docs.where(mine).join(drop, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("__out", run("text", "keys"))
-    some = joined.withColumn("text", F.col("__out.text")).select(*docs.columns, F.col("__out.lines").alias("n_lines"), F.col("__out.dropped").alias("n_dropped"))
+    mine = maybe_in(drop, id_)(F.col("doc_id"))
+    joined = docs.where(mine).join(drop, F.col("doc_id").eqNullSafe(F.col(id_)), "left").withColumn(out, run("text", keys))
+    some = joined.withColumn("text", F.col(f"{out}.text")).select(*docs.columns, F.col(f"{out}.lines").alias(n_lines), F.col(f"{out}.dropped").alias(n_dropped))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    return some.union(docs.where(~mine).select(*docs.columns, lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
+    return some.union(docs.where(~mine).select(*docs.columns, lines.cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_dropped)))
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

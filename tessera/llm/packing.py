@@ -26,7 +26,7 @@ LENGTH = 1024
 #: Remainders are told apart by this many tokens: the linear program has LENGTH / GRAIN rows, and a piece wastes GRAIN / 2 tokens on average.
 GRAIN = 4
 END = 0
-PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
+PIECES = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids {ids}"
 
 
 class Tokens:
@@ -56,9 +56,12 @@ class Tokens:
         return self.fast.encode_ordinary(text)
 
 
-def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """Each document's pieces: full ones and the remainder. `ids` is null unless asked for; it holds little-endian integers of two bytes
-    where all ids of a piece fit, else of four."""
+def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH, with_ids: bool = True, narrow: bool = False) -> DataFrame:
+    """Each document's pieces: full ones and the remainder. `ids` is null unless asked for. `narrow` ids are bytes: little-endian
+    integers of two bytes where all ids of a piece fit, else of four."""
+
+    def shown(one: np.ndarray):
+        return (one.astype("<u2") if one.max() < 1 << 16 else one).tobytes() if narrow else one.astype("int32")
 
     def run(batches):
         tokens = Tokens(tokenizer)
@@ -68,12 +71,12 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int =
                 ids = np.asarray([*tokens.ids(text or ""), END], dtype="<u4")
                 for at in range(0, len(ids), length):
                     one = ids[at : at + length]
-                    rows.append((key, at, len(one), zlib.crc32(one.tobytes()), len(ids), (one.astype("<u2") if one.max() < 1 << 16 else one).tobytes() if with_ids else None))
+                    rows.append((key, at, len(one), zlib.crc32(one.tobytes()), len(ids), shown(one) if with_ids else None))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES.format(kind=kind))
+    return docs.select("doc_id", "text").mapInPandas(run, PIECES.format(kind=kind, ids="binary" if narrow else "array<int>"))
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, Counter]:
@@ -243,7 +246,7 @@ def pack(parts: DataFrame, length: int = LENGTH, grain: int = GRAIN, gap: float
 def sequences(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH) -> DataFrame:
     """Every piece with its place and its ids, as array<int>. Texts are tokenized once; places are found without the ids, which are moved
     once, to meet them."""
-    parts = cut(pieces(docs, tokenizer, length).withColumn("__piece", F.monotonically_increasing_id()))
+    parts = cut(pieces(docs, tokenizer, length, narrow=True).withColumn("__piece", F.monotonically_increasing_id()))
     placed = pack(parts.drop("ids"), length)
     joined = placed.join(parts.select("__piece", "ids"), "__piece").drop("__piece")
     return joined.withColumn("ids", unpacked(F.col("length"), F.col("ids")))
