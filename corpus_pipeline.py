@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, line_templates, mixing, packing, toxicity
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import fresh, shared_dir, table
 from tessera.llm.graphs import without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,7 +24,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines of recurring templates; n_chars follows the text."""
-    return line_templates.dedup(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, gone = fresh("lines"), fresh("gone")
+    out = line_templates.dedup(docs, n_lines=lines, n_dropped=gone)
+    return out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
