@@ -3,6 +3,11 @@
 The smaller set of a pair is the outer one (the target's, if they are equal in size); an outer value counts if any inner value is close to
 it, and the score is count / (sizes - count). Equal values are found by a hash join first; only what is left looks for close values, in
 candidates that share a segment (edit distances: with at most k edits, one of k + 1 segments is intact) or have a fitting length.
+
+Two things keep candidates from being all pairs of two columns whose values look alike. Values are told apart by how often they have each
+letter, digits and other characters: most columns of codes and numbers have few such signatures, and pairs of signatures too far apart are
+never joined. And inner values come in blocks: a candidate row is an outer value with up to some `BLOCK` inner ones, searched only until
+one is close.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ class Distance(Enum):
     EXACT = "exact"
 
 
+#: Inner values in a block, about, and the most signatures of a column that are told apart.
+BLOCK, SIGNATURES = 1000, 256
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EDITS = (Distance.LEVENSHTEIN, Distance.DAMERAU_LEVENSHTEIN, Distance.HAMMING)
 PAIR = ["st", "sc", "tt", "tc"]
 
@@ -38,6 +46,21 @@ def budget(longer: Column, threshold: float) -> Column:
     return F.floor(longer * (1 - threshold) + 1e-6).cast("int")
 
 
+def signature(v: Column) -> Column:
+    """How many of each letter, of digits, and of other characters a text has."""
+    bare = F.length(v)
+    letters = [bare - F.length(F.translate(v, c + c.upper(), "")) for c in LETTERS]
+    digits = bare - F.length(F.translate(v, "0123456789", ""))
+    return F.array(*letters, digits, bare - sum(letters[1:], letters[0]) - digits)
+
+
+def signed(values: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """Adds `sig`; null in columns of values with more signatures than SIGNATURES, which are joined without it."""
+    with_sig = values.withColumn("sig", signature(F.col(column)))
+    few = with_sig.select(*by, "sig").distinct().groupBy(*by).agg(F.count("*").alias("sigs")).where(F.col("sigs") <= SIGNATURES)
+    return with_sig.join(few, by, "left").withColumn("sig", F.when(F.col("sigs").isNotNull(), F.col("sig"))).drop("sigs")
+
+
 @dataclass
 class Jaccard(Matcher):
     threshold: float = 0.8
@@ -70,21 +93,59 @@ class Jaccard(Matcher):
         inner = t.select("value", F.lit(True).alias("outer_s"), F.col("tt").alias("it"), F.col("tc").alias("ic")).unionByName(s.select("value", F.lit(False).alias("outer_s"), F.col("st").alias("it"), F.col("sc").alias("ic")))
         inner = inner.withColumnRenamed("value", "other").withColumn("lb", F.length("other"))
         left = left.withColumns({"it": F.when(F.col("outer_s"), F.col("tt")).otherwise(F.col("st")), "ic": F.when(F.col("outer_s"), F.col("tc")).otherwise(F.col("sc"))})
-        close = self.candidates(left, inner).where(self.close(F.col("value"), F.col("other"))).select(*PAIR, "value").distinct()
-        return exact.unionByName(close).groupBy(*PAIR).agg(F.count("*").alias("hits"))
-
-    def candidates(self, left: DataFrame, inner: DataFrame) -> DataFrame:
-        """Outer and inner values that may be close, as an equi-join on column, length and, where it prunes, a segment of the inner value."""
+        return exact.unionByName(self.close_values(left, inner).distinct()).groupBy(*PAIR).agg(F.count("*").alias("hits"))
+
+    def close_values(self, left: DataFrame, inner: DataFrame) -> DataFrame:
+        """(PAIR, value): outer values with a close inner one; a value may come more than once."""
+        v, edits = F.col("value"), self.distance in EDITS
+        if not edits:
+            cand = self.candidates(left, inner)
+            return cand.where(self.close(v, F.col("other"))).select(*PAIR, "value")
+        blocks = max(1, inner.count() // BLOCK)
+        near = self.candidates(left, inner, blocks).where(F.exists("others", lambda o: self.close(v, o))).select(*PAIR, "value")
+        if self.distance is not Distance.DAMERAU_LEVENSHTEIN:
+            return near
+        # Swaps count once here and twice in plain edit distance: it finds most close values, and rules most others out before the slower
+        # function sees them.
+        near = kept(near.distinct())
+        left = left.join(near, [*PAIR, "value"], "left_anti")
+        most = lambda o: 2 * budget(F.greatest(F.length(v), F.length(o)), self.threshold)
+        some = self.candidates(left, inner, blocks).select(*PAIR, "value", F.explode(F.filter("others", lambda o: F.call_function("levenshtein", v, o, most(o)) >= 0)).alias("other")).distinct()
+        return near.union(some.where(similarity_of(damerau(v, F.col("other")), v, F.col("other")) >= self.threshold).select(*PAIR, "value"))
+
+    def apart(self, la: Column, lb: Column) -> Column:
+        """Whether signatures x and y of texts of these lengths rule out that the texts are close."""
+        if self.distance in EDITS:
+            # An edit takes one character away and brings another at most; a swap does neither.
+            gone = F.aggregate(F.zip_with("x", "y", lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda s, d: s + d)
+            come = F.aggregate(F.zip_with("x", "y", lambda a, b: F.greatest(b - a, F.lit(0))), F.lit(0), lambda s, d: s + d)
+            return F.greatest(gone, come) > budget(F.greatest(la, lb), self.threshold)
+        need = self.threshold if self.distance is Distance.JARO else (self.threshold - 0.4) / 0.6
+        shared = F.aggregate(F.zip_with("x", "y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, d: s + d)
+        return (shared / la + shared / lb + 1) / 3 < need - 1e-9
+
+    def candidates(self, left: DataFrame, inner: DataFrame, blocks: int | None = None) -> DataFrame:
+        """Outer values with inner ones that may be close, as an equi-join on column, length, signature and, where it prunes, a segment of
+        the inner value: `other` in a row each, or with a number of blocks, `others` as arrays."""
         th, on = self.threshold, ["outer_s", "it", "ic"]
-        if th <= 0:
-            return left.join(inner, on)
+
+        def blocked(index: DataFrame, keys: list[str]) -> DataFrame:
+            return index if blocks is None else index.groupBy(*keys, F.pmod(F.xxhash64("other"), F.lit(blocks)).alias("b")).agg(F.collect_list("other").alias("others")).drop("b")
+
         share = th if self.distance in EDITS else max(3 * th - 2, 0.0) if self.distance is Distance.JARO else max((th - 0.4) / 0.6 * 3 - 2, 0.0)
-        if share <= 0:
-            return left.join(inner, on)
-        low, high = F.ceil(F.col("la") * share - 1e-6).cast("int"), F.floor(F.col("la") / share + 1e-6).cast("int")
-        by_length = left.withColumn("lb", F.explode(F.sequence(low, F.greatest(low, high))))
+        if th <= 0 or share <= 0:
+            return left.join(blocked(inner, on), on)
+        left, inner = kept(signed(left, "value", PAIR)), kept(signed(inner, "other", on))
+        # Pairs of lengths and signatures: as many as the columns' lengths, and SIGNATURES squared for a pair of columns at most.
+        a, b = left.select(*on, "la", F.col("sig").alias("x")).distinct(), inner.select(*on, "lb", F.col("sig").alias("y")).distinct()
+        fits = (F.col("lb") >= F.ceil(F.col("la") * share - 1e-6)) & (F.col("lb") <= F.floor(F.col("la") / share + 1e-6))
+        key = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))  # noqa: E731  a null signature is a key like any other
+        near = a.join(b, on).where(fits).where(F.col("x").isNull() | F.col("y").isNull() | ~self.apart(F.col("la"), F.col("lb"))).select(*on, "la", "lb", key("x").alias("x"), key("y").alias("y"))
+        names = [c for c in left.columns if c != "sig"]
+        by_length = left.select(*names, key("sig").alias("x")).join(near, [*on, "la", "x"]).select(*names, "lb", "y")
+        inner = inner.select(*on, "lb", "other", key("sig").alias("y"))
         if self.distance not in EDITS or th < 0.7:
-            return by_length.join(inner, [*on, "lb"])
+            return by_length.join(blocked(inner.select(*on, "lb", "y", "other"), [*on, "lb", "y"]), [*on, "lb", "y"])
         # A swap of neighbours may touch two segments, so it counts as two edits here.
         edits = 2 if self.distance is Distance.DAMERAU_LEVENSHTEIN else 1
         probe = by_length.withColumn("k", edits * budget(F.greatest("la", "lb"), th)).where("k > 0 or la = lb")
@@ -93,20 +154,18 @@ class Jaccard(Matcher):
         index = inner.withColumn("k", F.explode(ks))
         start = lambda i: F.floor(F.col("lb") * i / (F.col("k") + 1)).cast("int")
         cut = lambda i: F.struct(i.alias("i"), F.substring("other", start(i) + 1, start(i + 1) - start(i)).alias("seg"))
-        index = index.withColumn("x", F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), cut))).select(*on, "lb", "k", "other", "x.*")
+        keys = [*on, "lb", "y", "k", "i", "seg"]
+        index = blocked(index.withColumn("x", F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), cut))).select(*on, "lb", "y", "k", "other", "x.*"), keys)
         shift = F.lit(0) if self.distance is Distance.HAMMING else F.col("k")
         at = lambda i: F.sequence(F.greatest(F.lit(0), start(i) - shift), F.greatest(F.greatest(F.lit(0), start(i) - shift), F.least(start(i) + shift, F.col("la") - (start(i + 1) - start(i)))))
         seen = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.array_distinct(F.transform(at(i), lambda p: F.struct(i.alias("i"), F.substring("value", p + 1, start(i + 1) - start(i)).alias("seg"))))))
-        probe = probe.withColumn("x", F.explode(seen)).select(*left.columns, "lb", "k", "x.*")
-        return probe.join(index, [*on, "lb", "k", "i", "seg"]).select(*PAIR, "value", "other").distinct()
+        probe = probe.withColumn("x", F.explode(seen)).select(*names, "lb", "y", "k", "x.*")
+        return probe.join(index, keys)
 
     def close(self, a: Column, b: Column) -> Column:
-        if self.distance is Distance.LEVENSHTEIN:
-            return similarity_of(F.levenshtein(a, b), a, b) >= self.threshold
-        if self.distance is Distance.DAMERAU_LEVENSHTEIN:
-            # A swap is two edits at most, so plain edit distance rules most candidates out before the slower function sees them.
-            most = 2 * budget(F.greatest(F.length(a), F.length(b)), self.threshold)
-            return (F.levenshtein(a, b) <= most) & (similarity_of(damerau(a, b), a, b) >= self.threshold)
-        if self.distance is Distance.HAMMING:
-            return similarity_of(hamming(a, b), a, b) >= self.threshold
+        if self.distance in EDITS:
+            # The bounded distance ends early; it is never above the Hamming distance.
+            bounded = F.call_function("levenshtein", a, b, budget(F.greatest(F.length(a), F.length(b)), self.threshold))
+            exact = hamming(a, b) if self.distance is Distance.HAMMING else bounded
+            return (bounded >= 0) & (similarity_of(exact, a, b) >= self.threshold)
         return (jaro if self.distance is Distance.JARO else jaro_winkler)(a, b) >= self.threshold
