@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.profile import numbered
+from ..plans.profile import kept, numbered
 from .base import SCHEMA
 
+#: Rows of a relation in a partition, about.
+ROWS = 1 << 16
+
 COLUMNS = ["source_table", "source_column", "target_table", "target_column", "source_pos", "target_pos", "similarity"]
 KEY = COLUMNS[:4]
 
@@ -22,18 +25,30 @@ def order() -> list:
 
 
 class Matches:
-    """A match relation, best first; ties by table names, then by column positions. Operators return new relations; nothing is changed."""
+    """A match relation, best first; ties by table names, then by column positions. Operators return new relations; nothing is changed.
+
+    `df` is a plan. The first operator keeps its rows, which are as many as the columns matched have pairs, so the matcher runs once."""
 
     def __init__(self, df: DataFrame):
         self.df = df.select(*COLUMNS)
 
+    @cached_property
+    def _kept(self) -> tuple[DataFrame, int]:
+        rows = kept(self.df)
+        n = rows.count()
+        return rows.coalesce(max(1, -(-n // ROWS))), n
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._kept[0]
+
     @classmethod
     def of(cls, spark, rows: Iterable[tuple[str, str, str, str, float]]) -> Matches:
         """From (source table, source column, target table, target column, similarity); positions follow the order given."""
         return cls(spark.createDataFrame([(*r[:4], i, i, float(r[4])) for i, r in enumerate(rows)], SCHEMA))
 
     def ordered(self) -> DataFrame:
-        return self.df.orderBy(*order())
+        return self.rows.orderBy(*order())
 
     def collect(self) -> list[tuple[tuple[tuple[str, str], tuple[str, str]], float]]:
         """((source table, source column), (target table, target column)) and similarity, best first."""
@@ -43,7 +58,7 @@ class Matches:
         return Matches(self.df)
 
     def count(self) -> int:
-        return self.df.count()
+        return self._kept[1]
 
     def take_top_n(self, n: int) -> Matches:
         """The best n; a negative n leaves out the worst -n."""
@@ -53,16 +68,13 @@ class Matches:
         return self.take_top_n(math.ceil(percent / 100 * self.count()))
 
     @cached_property
-    def _one_to_one(self) -> DataFrame:
-        scores = self.df.select("similarity").distinct().orderBy(F.desc("similarity"))
-        n = scores.count()
-        if n < 2:
-            return self.df
-        median = numbered(scores, "n", F.desc("similarity")).where(F.col("n") == math.ceil(n / 2) + 1).first()["similarity"]
-        good = self.df.where(F.col("similarity") >= median)
-
+    def _one_to_one(self) -> Matches:
         def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["similarity", "source_table", "target_table", "source_pos", "target_pos", "source_column", "target_column"], ascending=[False] + [True] * 6)
+            pdf = pdf[COLUMNS].sort_values(["similarity", "source_table", "target_table", "source_pos", "target_pos", "source_column", "target_column"], ascending=[False] + [True] * 6)
+            scores = sorted(set(pdf["similarity"]), reverse=True)
+            if len(scores) < 2:
+                return pdf
+            pdf = pdf[pdf["similarity"] >= scores[min(math.ceil(len(scores) / 2), len(scores) - 1)]]
             used: set = set()
             keep = []
             for r in pdf.itertuples(index=False):
@@ -73,19 +85,22 @@ class Matches:
             return pdf[keep]
 
         # Greedy choice is sequential; its input has a row for each pair of columns of the schemas matched.
-        return good.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda pdf: greedy(pdf[COLUMNS]), SCHEMA)
+        return Matches(self.rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(greedy, SCHEMA))
 
     def one_to_one(self) -> Matches:
         """Best first, each column at most once, none below the median of the distinct scores."""
-        return Matches(self._one_to_one)
+        return self._one_to_one
+
+    def ranked(self) -> DataFrame:
+        """The relation with `nth`, from 1, best first."""
+        if self._kept[1] <= ROWS:
+            return self.rows.withColumn("nth", F.row_number().over(Window.orderBy(*order())))
+        return numbered(self.rows, "nth", *order())
 
     def get_metrics(self, ground_truth: Sequence[tuple[str, str]], metrics=None) -> dict[str, float]:
-        from .metrics import METRICS_CORE
+        from .metrics import METRICS_CORE, evaluated
 
-        out: dict[str, float] = {}
-        for m in sorted(METRICS_CORE if metrics is None else metrics, key=lambda m: (m.name(), repr(m))):
-            out.update(m.apply(self, ground_truth))
-        return out
+        return evaluated(self, ground_truth, METRICS_CORE if metrics is None else metrics)
 
 
 def last_of_key(parts: Sequence[DataFrame]) -> DataFrame:
