@@ -97,14 +97,15 @@ def cutoff(distances: list[float], threshold: float) -> float:
     return next((a for g, a in gaps if g == widest), 0.0)
 
 
+def cutoffs(nodes: list, distance: dict, threshold: float) -> dict:
+    """Each node's cutoff among its distances to the others."""
+    return {n: cutoff([distance[n, m] for m in nodes if (n, m) in distance], threshold) for n in nodes}
+
+
 def neighbours(nodes: list, distance: dict, threshold: float) -> dict:
     """Directed edges: from each node to those within its cutoff."""
-    out = {}
-    for n in nodes:
-        mine = {m: distance[n, m] for m in nodes if (n, m) in distance}
-        at = cutoff(list(mine.values()), threshold)
-        out[n] = {m for m, d in mine.items() if d <= at}
-    return out
+    at = cutoffs(nodes, distance, threshold)
+    return {n: {m for m in nodes if (n, m) in distance and distance[n, m] <= at[n]} for n in nodes}
 
 
 def connected(nodes: list, edges: dict) -> list[list]:
@@ -182,6 +183,11 @@ def both_ways(rows) -> dict:
     return out
 
 
+def graph(first) -> tuple[list, dict]:
+    """Nodes (0, table, column) and (1, table, column), and the distances both ways, of rows (st, sc, tt, tc, emd)."""
+    return sorted({(0, r.st, r.sc) for r in first} | {(1, r.tt, r.tc) for r in first}), both_ways(first)
+
+
 @dataclass
 class DistributionBased(Matcher):
     threshold1: float = 0.15
@@ -195,8 +201,7 @@ class DistributionBased(Matcher):
             target = Table(f"{target.name}\x00target", target.df, target.nested)
         ranks = ranked_columns(source, target)
         first = column_emd(ranks, source, target, self.quantiles).collect()
-        nodes = sorted({(0, r.st, r.sc) for r in first} | {(1, r.tt, r.tc) for r in first})
-        distance = both_ways(first)
+        nodes, distance = graph(first)
         clusters = [c for c in connected(nodes, neighbours(nodes, distance, self.threshold1)) if len(c) > 1]
         pos = {(r.sc, r.tc): (r.sp, r.tp) for r in first}
         shared = both_ways(intersection_emd(ranks, source, target, self.quantiles).collect()) if clusters else {}

@@ -1,4 +1,4 @@
-"""Registered queries of the matching engine over the driver's tables, and the SQL that checks them."""
+"""Registered queries of the matching engine over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .api import Composite, Cupid, Distance, DistributionBased, Jaccard, Matches, SimilarityFlooding, Table, match_batch
 from .operators import distribution, flooding
-from .operators.metrics import F1Score, Precision, PrecisionTopNPercent, Recall, RecallAtSizeofGroundTruth, counts
+from .operators.metrics import F1Score, Precision, PrecisionTopNPercent, Recall, RecallAtSizeofGroundTruth
 from .plans.profile import column_stats, profile
 
 COLUMNS = {
@@ -18,6 +18,7 @@ COLUMNS = {
 }
 #: A hand-written relation and truth for the operators on matches.
 ROWS = (("table_1", "Cited by", "table_2", "Cited by", 0.8374313), ("table_1", "Authors", "table_2", "Authors", 0.83498037), ("table_1", "EID", "table_2", "EID", 0.8214057), ("table_1", "Title", "table_2", "DUMMY1", 0.8214057), ("table_1", "Title", "table_2", "DUMMY2", 0.8114057))
+REAL_TRUTH = (("c_custkey", "s_suppkey"), ("c_nationkey", "s_nationkey"), ("c_acctbal", "s_acctbal"), ("c_name", "s_name"))
 TRUTH = (("Cited by", "Cited by"), ("Authors", "Authors"), ("EID", "EID"), ("Title", "Title"), ("DUMMY3", "DUMMY3"))
 
 
@@ -63,6 +64,22 @@ def intersection_emd(spark, sf_dir):
     return out.select("sc", "tc", F.when(F.col("emd") == distribution.INF, -1.0).otherwise(F.round("emd", 6)).alias("emd"))
 
 
+def distances(spark, sf_dir) -> tuple[list, dict]:
+    s, t = tables(spark, sf_dir, "customer", "supplier")
+    return distribution.graph(distribution.column_emd(distribution.ranked_columns(s, t), s, t).collect())
+
+
+def dist_cutoff(spark, sf_dir):
+    at = distribution.cutoffs(*distances(spark, sf_dir), 0.15)
+    return spark.createDataFrame([("st"[k[0]], k[2], round(v, 6)) for k, v in at.items()], "side string, col string, cutoff double")
+
+
+def dist_clusters(spark, sf_dir):
+    nodes, distance = distances(spark, sf_dir)
+    found = distribution.connected(nodes, distribution.neighbours(nodes, distance, 0.15))
+    return spark.createDataFrame([("st"[k[0]], k[2], min("st"[n[0]] + n[2] for n in c)) for c in found for k in c], "side string, col string, cluster string")
+
+
 def graphs(spark, sf_dir):
     s, t = tables(spark, sf_dir, "nation", "region")
     return flooding.edges(spark, s), flooding.edges(spark, t)
@@ -97,8 +114,16 @@ def metrics(spark, sf_dir):
         for k in (Precision(one), Recall(one), F1Score(one), PrecisionTopNPercent(one, 50), PrecisionTopNPercent(one, 70)):
             got[f"{k.name()}_{'1to1' if one else 'all'}"] = k.value(m, TRUTH)
     got["RecallAtSizeofGroundTruth"] = RecallAtSizeofGroundTruth().value(m, TRUTH)
-    tp, fp, fn = counts(m, TRUTH, 2)
-    got |= {"tp_2": float(tp), "fp_2": float(fp), "fn_2": float(fn)}
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in got.items()], "metric string, value double")
+
+
+def real_matches(spark, sf_dir) -> Matches:
+    s, t = tables(spark, sf_dir, "customer", "supplier")
+    return Matches(Jaccard(distance=Distance.EXACT).match(s, t))
+
+
+def get_metrics(spark, sf_dir):
+    got = real_matches(spark, sf_dir).get_metrics(REAL_TRUTH)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in got.items()], "metric string, value double")
 
 
@@ -127,102 +152,12 @@ QUERIES = {
     "top_percent": lambda spark, sf_dir: shown(fixture(spark).take_top_percent(40).df),
     "one_to_one": lambda spark, sf_dir: shown(fixture(spark).one_to_one().df),
     "match_metrics": metrics,
+    "get_metrics": get_metrics,
+    "one_to_one_tables": lambda spark, sf_dir: shown(real_matches(spark, sf_dir).one_to_one().df),
+    "top_n_tables": lambda spark, sf_dir: shown(real_matches(spark, sf_dir).take_top_n(3).df),
+    "dist_cutoff": dist_cutoff,
+    "dist_clusters": dist_clusters,
 }
 for _formula in flooding.FORMULAS:
     for _policy in flooding.POLICIES:
         QUERIES[f"flood_match_{_formula.removeprefix('formula_')}_{_policy.removeprefix('inverse_')}"] = matching(SimilarityFlooding(_policy, _formula), "nation", "region")
-
-
-def cells_sql(*names: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t in names for c in COLUMNS[t])
-
-
-def jaccard_sql(close: str, sources: tuple[str, ...], targets: tuple[str, ...]) -> str:
-    return f"""
-WITH s AS (SELECT DISTINCT * FROM ({cells_sql(*sources)})), t AS (SELECT DISTINCT * FROM ({cells_sql(*targets)})),
-ns AS (SELECT tbl, col, count(*) AS n FROM s GROUP BY ALL), nt AS (SELECT tbl, col, count(*) AS n FROM t GROUP BY ALL),
-hits AS (SELECT s.tbl AS st, s.col AS sc, t.tbl AS tt, t.col AS tc, count(DISTINCT s.v) AS hs, count(DISTINCT t.v) AS ht
-  FROM s JOIN t ON {close.format(a='s.v', b='t.v')} GROUP BY ALL),
-c AS (SELECT st, sc, tt, tc, CASE WHEN ns.n < nt.n THEN hs ELSE ht END AS h, ns.n AS a, nt.n AS b
-  FROM hits JOIN ns ON ns.tbl = st AND ns.col = sc JOIN nt ON nt.tbl = tt AND nt.col = tc)
-SELECT st AS source_table, sc AS source_column, tt AS target_table, tc AS target_column, round(h / (a + b - h), 6) AS similarity FROM c WHERE h > 0"""
-
-
-EDIT = "1 - {d}({{a}}, {{b}}) / greatest(length({{a}}), length({{b}}), 1) >= 0.8"
-HAMMING = "1 - (hamming(left({a}, least(length({a}), length({b}))), left({b}, least(length({a}), length({b})))) + abs(length({a}) - length({b}))) / greatest(length({a}), length({b}), 1) >= 0.8"
-RANKED = "row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(v, '^[ \\t]*(-?[0-9]*\\.?[0-9]*)', 1) AS DECIMAL(38,10)), 0), v)"
-RANKS = f"""
-cells AS ({cells_sql('customer', 'supplier')}),
-ranks AS (SELECT v, {RANKED} AS r FROM (SELECT DISTINCT v FROM cells)),
-keyed AS (SELECT v, max(r) OVER (PARTITION BY coalesce(CAST(TRY_CAST(v AS DOUBLE) AS VARCHAR), 's' || v)) AS rank FROM ranks),
-rows_ AS (SELECT tbl, col, v, rank FROM cells JOIN keyed USING (v)),
-raw AS (SELECT tbl, col, low, unnest(qs) AS q FROM (SELECT tbl, col, min(rank) AS low, quantile_cont(CAST(rank AS DOUBLE), list_transform(range(1, 257), lambda k: k / 257.0)) AS qs FROM rows_ GROUP BY ALL)),
-bounds AS (SELECT tbl, col, min(low) AS low, list_sort(list(DISTINCT round_even(q, 3))) AS b FROM raw GROUP BY ALL)"""
-
-
-def hist_sql(name: str, rows: str, keys: str) -> str:
-    return f"{name} AS (SELECT {keys}, len(list_filter(b, lambda x: x < rank)) AS k, count(*) AS m FROM ({rows}) WHERE rank >= low AND rank <= b[len(b)] GROUP BY ALL)"
-
-
-EMD = f"""WITH {RANKS},
-s AS (SELECT col AS sc, rank, low, b FROM rows_ JOIN bounds USING (tbl, col) WHERE tbl = 'customer'),
-t AS (SELECT col AS tc, rank FROM rows_ WHERE tbl = 'supplier'),
-sb AS (SELECT col AS sc, low, b FROM bounds WHERE tbl = 'customer'),
-tn AS (SELECT DISTINCT tc FROM t),
-{hist_sql('hs', 'SELECT * FROM s', 'sc')},
-{hist_sql('ht', 'SELECT sb.sc, t.tc, t.rank, sb.low, sb.b FROM t, sb', 'sc, tc')},
-grid AS (SELECT sc, tc, len(b) AS n, unnest(range(0, len(b))) AS k FROM sb, tn),
-g AS (SELECT grid.*, coalesce(hs.m, 0) AS a, coalesce(ht.m, 0) AS c FROM grid LEFT JOIN hs USING (sc, k) LEFT JOIN ht USING (sc, tc, k)),
-w AS (SELECT sc, tc, n, sum(a) OVER p AS ra, sum(c) OVER p AS rc, sum(a) OVER (PARTITION BY sc, tc) AS ta, sum(c) OVER (PARTITION BY sc, tc) AS tc_ FROM g WINDOW p AS (PARTITION BY sc, tc ORDER BY k))
-SELECT sc, tc, CASE WHEN min(ta) = 0 OR min(tc_) = 0 THEN -1.0 ELSE round(sum(abs(ra / ta - rc / tc_)) / max(n), 6) END AS emd FROM w GROUP BY ALL"""
-
-LABELS = {"n_nationkey": "int", "n_name": "varchar", "n_regionkey": "int", "r_regionkey": "int", "r_name": "varchar"}
-
-
-def edges_sql(table: str) -> str:
-    me = f"id:table:{table}"
-    rows = [("name", me, "", True, f"name:{table}", table, False), ("type", me, "", True, "kind:Table", "Table", False)]
-    for c in COLUMNS[table]:
-        col, kind = f"id:column:{c}", f"id:type:{LABELS[c]}"
-        rows += [("type", col, "", True, "kind:Column", "Column", False), ("column", me, "", True, col, "", True), ("name", col, "", True, f"name:{c}", c, False), ("SQLtype", col, "", True, kind, "", True)]
-    for k in dict.fromkeys(LABELS[c] for c in COLUMNS[table]):
-        rows += [("type", f"id:type:{k}", "", True, "kind:ColumnType", "ColumnType", False), ("name", f"id:type:{k}", "", True, f"typename:{k}", k, False)]
-    lit = lambda x: str(x).upper() if isinstance(x, bool) else f"'{x}'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ") AS e(label, src, src_name, src_id, dst, dst_name, dst_id)"
-
-
-GRAPHS = f"e1 AS (SELECT * FROM {edges_sql('nation')}), e2 AS (SELECT * FROM {edges_sql('region')})"
-PCG = "c AS (SELECT e1.label, e1.src AS a1, e2.src AS a2, e1.dst AS b1, e2.dst AS b2 FROM e1 JOIN e2 ON e1.label = e2.label)"
-
-
-def nodes_sql(e: str) -> str:
-    return f"(SELECT src AS node, src_name AS name, src_id AS is_id FROM {e} UNION SELECT dst, dst_name, dst_id FROM {e})"
-
-
-WEIGHTS = {
-    "average": "2.0 / ((SELECT count(*) FROM e1 WHERE e1.label = c.label AND e1.src = a1) + (SELECT count(*) FROM e2 WHERE e2.label = c.label AND e2.src = a2)) AS wf, 2.0 / ((SELECT count(*) FROM e1 WHERE e1.label = c.label AND e1.dst = b1) + (SELECT count(*) FROM e2 WHERE e2.label = c.label AND e2.dst = b2)) AS wb",
-    "product": "1.0 / count(*) OVER (PARTITION BY label, a1, a2) AS wf, 1.0 / count(*) OVER (PARTITION BY label, b1, b2) AS wb",
-}
-FIXTURE = "m AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}', '{d}', {x})" for i, (a, b, c, d, x) in enumerate(ROWS)) + ") AS v(pos, source_table, source_column, target_table, target_column, similarity))"
-OUT = "source_table, source_column, target_table, target_column, round(CAST(similarity AS DOUBLE), 6) AS similarity"
-
-ORACLES = {
-    "column_profile": f'SELECT tbl AS "table", col AS "column", count(*) AS rows, count(DISTINCT v) AS "distinct" FROM ({cells_sql("customer", "supplier")}) GROUP BY ALL',
-    "jaccard_exact": jaccard_sql("{a} = {b}", ("customer",), ("supplier",)),
-    "jaccard_levenshtein": jaccard_sql(EDIT.format(d="levenshtein"), ("customer",), ("supplier",)),
-    "jaccard_damerau": jaccard_sql(EDIT.format(d="damerau_levenshtein"), ("customer",), ("supplier",)),
-    "jaccard_hamming": jaccard_sql(HAMMING, ("customer",), ("supplier",)),
-    "jaccard_jaro": jaccard_sql("jaro_similarity({a}, {b}) >= 0.8", ("supplier",), ("nation",)),
-    "jaccard_jaro_winkler": jaccard_sql("jaro_winkler_similarity({a}, {b}) >= 0.8", ("supplier",), ("nation",)),
-    "jaccard_batch": jaccard_sql("{a} = {b}", ("customer", "nation"), ("supplier", "region")),
-    "global_rank": f"SELECT v AS value, {RANKED} AS rank FROM (SELECT DISTINCT v FROM ({cells_sql('nation', 'region', 'supplier')}))",
-    "quantile_histogram": f'WITH {RANKS} SELECT tbl AS "table", col AS "column", low, CAST(len(b) AS INTEGER) AS n_bounds, round(list_sum(b), 2) AS sum_bounds FROM bounds',
-    "quantile_emd": EMD,
-    "flood_initial_map": f"WITH {GRAPHS} SELECT a.node AS n1, b.node AS n2, CASE WHEN a.is_id OR b.is_id THEN 0.0 ELSE round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name), 1), 6) END AS sim FROM {nodes_sql('e1')} a, {nodes_sql('e2')} b",
-    "flood_connectivity": f"WITH {GRAPHS}, {PCG} SELECT * FROM c",
-    **{f"flood_weights_{k}": f"WITH {GRAPHS}, {PCG}, w AS (SELECT *, {v} FROM c) SELECT a1 AS u1, a2 AS u2, b1 AS v1, b2 AS v2, round(CAST(wf AS DOUBLE), 6) AS weight FROM w UNION ALL SELECT b1, b2, a1, a2, round(CAST(wb AS DOUBLE), 6) FROM w" for k, v in WEIGHTS.items()},
-    "top_n": f"WITH {FIXTURE} SELECT {OUT} FROM m ORDER BY m.similarity DESC, pos LIMIT 2",
-    "top_percent": f"WITH {FIXTURE} SELECT {OUT} FROM m QUALIFY row_number() OVER (ORDER BY m.similarity DESC, pos) <= ceil(0.4 * count(*) OVER ())",
-    "one_to_one": f"WITH {FIXTURE}, d AS (SELECT similarity AS x, row_number() OVER (ORDER BY similarity DESC) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT similarity FROM m)), g AS (SELECT * FROM m WHERE similarity >= (SELECT x FROM d WHERE r = ceil(n / 2) + 1)) SELECT {OUT} FROM g QUALIFY row_number() OVER (PARTITION BY source_column ORDER BY g.similarity DESC, pos) = 1",
-    "match_metrics": "SELECT * FROM (VALUES ('Precision_1to1', 0.75), ('Recall_1to1', 0.6), ('F1Score_1to1', 0.666667), ('PrecisionTop50Percent_1to1', 1.0), ('PrecisionTop70Percent_1to1', 1.0), ('Precision_all', 0.6), ('Recall_all', 0.6), ('F1Score_all', 0.6), ('PrecisionTop50Percent_all', 1.0), ('PrecisionTop70Percent_all', 0.75), ('RecallAtSizeofGroundTruth', 0.6), ('tp_2', 2.0), ('fp_2', 0.0), ('fn_2', 3.0)) AS v(metric, value)",
-}
