@@ -20,6 +20,8 @@ from .base import SCHEMA, Matcher
 
 INF = float("inf")
 BUCKETS = 1024
+#: The most quantiles, and so bounds, of a column.
+MOST = 1 << 16
 
 
 def sort_value(v: Column) -> Column:
@@ -59,7 +61,12 @@ def cut_points(ranks: DataFrame, by: list[str], quantiles: int = 256) -> DataFra
     r = r.join(sums, [*by, "b"]).withColumn("first", F.col("before") + F.coalesce(F.sum("freq").over(within), F.lit(0)))
     # Cut point k lies at (total - 1) * k / (quantiles + 1); each value tells which of their lower and upper neighbours it is.
     parts = quantiles + 1
-    ks = F.transform(F.sequence(F.lit(1), F.lit(quantiles)), lambda k: F.struct(k.alias("k"), F.floor((F.col("total") - 1) * k / parts).alias("j"), ((F.col("total") - 1) * k % parts / parts).alias("w")))
+    # Only cut points near the value's share of the running counts are looked at.
+    each = F.lit(parts) / F.greatest(F.col("total") - 1, F.lit(1))
+    low_k = F.greatest(F.lit(1), F.floor((F.col("first") - 1) * each) - 1).cast("int")
+    high_k = F.when(F.col("total") < 2, quantiles).otherwise(F.least(F.lit(quantiles), F.ceil((F.col("first") + F.col("freq")) * each) + 1)).cast("int")
+    near = F.when(low_k <= high_k, F.sequence(low_k, F.greatest(low_k, high_k))).otherwise(F.array().cast("array<int>"))
+    ks = F.transform(near, lambda k: F.struct(k.alias("k"), F.floor((F.col("total") - 1) * k / parts).alias("j"), ((F.col("total") - 1) * k % parts / parts).alias("w")))
     inside = lambda j: (j >= F.col("first")) & (j < F.col("first") + F.col("freq"))
     last = F.col("total") - 1
     found = F.filter(ks, lambda x: inside(x["j"]) | inside(F.least(x["j"] + 1, last)))
@@ -69,12 +76,17 @@ def cut_points(ranks: DataFrame, by: list[str], quantiles: int = 256) -> DataFra
     return points.groupBy(*by).agg(F.min("low").alias("low"), F.array_sort(F.collect_set("q")).alias("bounds"))
 
 
+def bucket_of(rank: Column, bounds: Column, most: int = 256) -> Column:
+    """How many of the sorted bounds are below the rank, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(bounds, i + s - 1) < rank, i + s).otherwise(i))
+
+
 def histograms(rows: DataFrame, bounds: DataFrame, pair: list[str]) -> DataFrame:
     """(pair..., bucket, n, mass): each pair's rows over that pair's reference bounds. A value on an edge is in the lower bucket; values
     outside are left out."""
     at = rows.join(bounds, [c for c in pair if c in bounds.columns])
-    bucket = F.size(F.filter("bounds", lambda b: b < F.col("rank")))
-    at = at.withColumns({"bucket": bucket, "n": F.size("bounds")}).where("rank >= low and bucket < n")
+    at = at.withColumns({"bucket": bucket_of(F.col("rank"), F.col("bounds"), MOST), "n": F.size("bounds")}).where("rank >= low and bucket < n")
     return at.groupBy(*pair, "bucket", "n").agg(F.sum("freq").alias("mass"))
 
 
@@ -154,8 +166,7 @@ def column_emd(ranks: DataFrame, source: Table, target: Table, quantiles: int =
     own = histograms(s, bounds, ["st", "sc"])
     left = own.join(pairs.select(*PAIR), ["st", "sc"])
     placed = t.join(bounds)
-    bucket = F.size(F.filter("bounds", lambda b: b < F.col("rank")))
-    right = placed.withColumns({"bucket": bucket, "n": F.size("bounds")}).where("rank >= low and bucket < n").groupBy(*PAIR, "bucket", "n").agg(F.sum("freq").alias("mass"))
+    right = placed.withColumns({"bucket": bucket_of(F.col("rank"), F.col("bounds"), MOST), "n": F.size("bounds")}).where("rank >= low and bucket < n").groupBy(*PAIR, "bucket", "n").agg(F.sum("freq").alias("mass"))
     return pairs.join(emd(left, right, PAIR), PAIR, "left").withColumn("emd", F.coalesce("emd", F.lit(INF)))
 
 

@@ -14,6 +14,8 @@ from ..functions.text import render
 
 INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType)
+#: Rows looked at for columns' first values.
+HEAD = 100
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 
@@ -49,10 +51,17 @@ class Table:
         return wide.select(F.explode(F.array(*one)).alias("x")).where("x.value is not null").select(F.lit(self.name).alias("table"), "x.*")
 
     def labels(self) -> dict[str, str]:
-        """The type label of each column. A string column is a date if its first value reads as one; one pass finds all first values."""
+        """The type label of each column. A string column is a date if its first value reads as one. Values are looked for in the first rows;
+        only columns without any there are read on, each until a value is found."""
         fields = self.fields
         wide = self.df.toDF(*[f"c{i}" for i in range(len(self.df.columns))])
-        first = wide.agg(*[F.first(render(F.col(f"c{i}"), f.dataType), ignorenulls=True).alias(f"c{i}") for i, f in fields]).first() if fields else {}
+        shown = {f"c{i}": render(F.col(f"c{i}"), f.dataType).alias(f"c{i}") for i, f in fields}
+        head = wide.select(*shown.values()).limit(HEAD).collect() if fields else []
+        first = {c: next((r[c] for r in head if r[c] is not None), None) for c in shown}
+        if len(head) == HEAD:
+            for c in (c for c, v in first.items() if v is None):
+                found = wide.where(F.col(c).isNotNull()).select(shown[c]).limit(1).collect()
+                first[c] = found[0][0] if found else None
         out = {}
         for i, f in fields:
             value = first[f"c{i}"]
