@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, small_batches, table
 
 SAMPLE, KEPT, FOLDS, THRESHOLD = 16_000, 512, 3, 0.5
 STARTS = range(2, 9)
@@ -167,16 +167,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """Adds a column p_<category> for each category."""
+def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
+    """Adds a column <prefix><category> for each category; a table that has one of that name is refused."""
+    if clash := {prefix + c for c in chain.categories} & set(docs.columns):
+        raise ValueError(f"the table has columns named as results: {', '.join(sorted(clash))}")
 
     @F.pandas_udf("array<double>")
     def probabilities(texts: pd.Series) -> pd.Series:
         a = chain.automaton()
         return pd.Series([chain.probabilities(chain.hits(a, t)) for t in texts])
 
-    out = docs.withColumn("__p", probabilities(F.col(text)))
-    return out.withColumns({f"p_{c}": F.get("__p", F.lit(i)) for i, c in enumerate(chain.categories)}).drop("__p")
+    name = fresh("p")
+    out = docs.withColumn(name, probabilities(F.col(text)))
+    return out.withColumns({prefix + c: F.get(name, F.lit(i)) for i, c in enumerate(chain.categories)}).drop(name)
 
 
 def label_columns(labels: DataFrame) -> DataFrame:
@@ -197,4 +200,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not rejected; columns as given."""
-    return score(docs, trained(spark, docs, sf_dir)).where(F.col("p_toxic") < THRESHOLD).select(*docs.columns)
+    prefix = fresh("p")
+    return score(docs, trained(spark, docs, sf_dir), prefix=prefix).where(F.col(f"{prefix}toxic") < THRESHOLD).select(*docs.columns)

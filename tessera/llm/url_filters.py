@@ -18,7 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, fresh, table
 
 BLOCK = "=block"
 #: The rules that the query applies before the learned ones (host, path, verdict).
@@ -118,24 +118,29 @@ def mine(labelled: DataFrame, toks: str = "tokens", bad: str = "bad", min_suppor
     return UrlRules(tuple(rows), {r.t: r.freq for r in single.where(F.col("t").isin(sorted(used))).collect()} if used else {}, rest)
 
 
-def with_rest(pages: DataFrame, toks: Column, rest: DataFrame) -> DataFrame:
-    """Adds the highest confidence among the rules of `rest` that fit, as __rest; each set of tokens is matched once."""
-    own = pages.withColumn("__tokens", toks)
-    sets = own.select("__tokens").where(F.size("__tokens") > 0).distinct()
-    fits = sets.select("__tokens", F.explode(F.array_distinct("__tokens")).alias("key")).join(rest, "key").where(F.size(F.array_except("a", "__tokens")) == 0)
-    best = fits.groupBy("__tokens").agg(F.max("confidence").alias("__rest"))
-    return own.join(best, "__tokens", "left").drop("__tokens")
+def with_rest(pages: DataFrame, toks: Column, rest: DataFrame, name: str) -> DataFrame:
+    """Adds the highest confidence among the rules of `rest` that fit; each set of tokens is matched once."""
+    t = fresh("tokens")
+    own = pages.withColumn(t, toks)
+    sets = own.select(t).where(F.size(t) > 0).distinct()
+    fits = sets.select(t, F.explode(F.array_distinct(t)).alias("key")).join(rest, "key").where(F.size(F.array_except("a", t)) == 0)
+    best = fits.groupBy(t).agg(F.max("confidence").alias(name))
+    return own.join(best, t, "left").drop(t)
 
 
 def judge(pages: DataFrame, learned: UrlRules, url: str = "url", fixed=FIXED_RULES, threshold: float = 0.5) -> DataFrame:
-    """Adds host, path, rule, block_confidence and verdict to every row."""
+    """Adds host, path, rule, block_confidence and verdict to every row; a table that has a column of such a name is refused."""
+    if clash := {"host", "path", "rule", "block_confidence", "verdict"} & set(pages.columns):
+        raise ValueError(f"the table has columns named as results: {', '.join(sorted(clash))}")
     u = F.col(url)
     h, p = host(u), path(u)
     rule, by_rule = fixed_rule(h, p, fixed)
     conf = learned.score(tokens(u))
     if learned.rest is not None:
-        pages, conf = with_rest(pages, tokens(u), learned.rest), F.greatest(conf, "__rest")
-    out = pages.withColumns({"host": h, "path": p, "rule": rule, "block_confidence": conf}).drop("__rest")
+        name = fresh("rest")
+        pages, conf = with_rest(pages, tokens(u), learned.rest, name), F.greatest(conf, F.col(name))
+    out = pages.withColumns({"host": h, "path": p, "rule": rule, "block_confidence": conf})
+    out = out.drop(name) if learned.rest is not None else out
     return out.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("block_confidence") >= threshold, "block").otherwise("allow")))
 
 
