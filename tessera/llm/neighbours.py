@@ -3,8 +3,9 @@
 Equal vectors are one node with its smallest ids, as many as a result can hold, so a very common vector costs one node. Nodes are dealt to
 shards of about `shard_size` by a hash. In a shard, inner product is turned into distance by one more component that gives all vectors
 the same length; each layer links a node to diverse near nodes and back, in one flat array of neighbours a layer. An index is a row:
-vectors, ids and neighbour arrays. Blocks of queries meet each index, go down its layers by beam search, and the best of all shards are
-merged. Scores are inner products of the original vectors in double precision.
+vectors, ids and neighbour arrays. Queries are sent to every shard, a task reads one index and then its queries block by block, which go
+down the layers by beam search; the best of all shards are merged by partial top-k. The graph is searched in single precision, on
+vectors scaled to at most 1; scores are inner products of the original vectors in double precision.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part. Vectors of different lengths don't meet. Rows with
 a null id take no part; rows that repeat id and vector count once; an id with two vectors is two candidates, and no candidate of a query
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 SHARD, LINKS, BEAM, POOL, BLOCK = 16_384, 16, 96, 48, 256
+#: Queries in a row, and rows for each copy of an index.
+QUERIES, ROWS = 1024, 32
 
 
 def usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
-    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v"))
+    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return v.where(F.col("id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0))
 
@@ -81,8 +84,14 @@ def layer(x: np.ndarray, nodes: np.ndarray, links: int) -> np.ndarray:
     return flat
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Single precision at a scale where no component is above 1; neither vectors' nor queries' scale changes the order of scores."""
+    return (v / max(np.abs(v).max(), np.finfo(np.float64).tiny)).astype(np.float32)
+
+
 def build(ids: list[list[int]], v: np.ndarray, links: int = LINKS) -> dict:
     """An index over one shard: `layers` from the top down, each (nodes, flat neighbours); `row` finds a node in its layer."""
+    exact, v = v, scaled(v)
     square = np.einsum("ij,ij->i", v, v)
     x = np.column_stack([v, np.sqrt(np.maximum(square.max() - square, 0))]).astype(np.float32)
     h = np.array([i[0] for i in ids], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +103,8 @@ def build(ids: list[list[int]], v: np.ndarray, links: int = LINKS) -> dict:
     for at in range(level.max(), -1, -1):
         nodes = np.flatnonzero(level >= at).astype(np.int32)
         layers.append((nodes, layer(x, nodes, links)))
-    return {"ids": ids, "v": v, "layers": layers}
+    single = exact.astype(np.float32)
+    return {"ids": ids, "v": v, "exact": single if (single == exact).all() else exact, "layers": layers}
 
 
 def beam(v: np.ndarray, q: np.ndarray, nodes: np.ndarray, flat: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
@@ -137,16 +147,16 @@ def search(index: dict, q: np.ndarray, k: int, width: int = BEAM) -> list[list[t
     v = index["v"]
     out = []
     for at in range(0, len(q), BLOCK):
-        part = q[at : at + BLOCK].astype(np.float32)
+        whole = q[at : at + BLOCK]
+        part = scaled(whole)
         start = np.repeat(index["layers"][0][0][None, :1], len(part), axis=0)
         for i, (nodes, flat) in enumerate(index["layers"]):
             last = i == len(index["layers"]) - 1
             got = beam(v, part, nodes, flat, start, max(width, k) if last else 16)
             start = got[:, : max(1, int((got >= 0).sum(axis=1).min()))]
-        exact = part.astype(np.float64)
-        for one, found in zip(exact, got, strict=True):
+        for one, found in zip(whole, got, strict=True):
             found = found[found >= 0]
-            scores = (v[found].astype(np.float64) * one).sum(axis=1)
+            scores = (index["exact"][found].astype(np.float64) * one).sum(axis=1)
             pairs = [(i, float(s)) for f, s in zip(found, scores, strict=True) for i in index["ids"][f]]
             out.append(sorted(pairs, key=lambda p: (-p[1], p[0]))[:k])
     return out
@@ -165,26 +175,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(first=[i[0] for i in pdf["ids"]]).sort_values("first")
-        made = build([[int(i) for i in x] for x in pdf["ids"]], np.stack(pdf["v"]).astype(np.float32))
+        made = build([[int(i) for i in x] for x in pdf["ids"]], np.stack(pdf["v"]).astype(np.float64))
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "index": [pickle.dumps(made)]})
 
     placed = nodes.select("ids", "v", F.size("v").alias("dim"), F.pmod("h", many).cast("int").alias("shard"))
     indexes = cut(placed.groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, index binary"))
     asked = usable(queries, key, vec).distinct().withColumn("h", F.xxhash64("v"))
     classes = asked.groupBy("h", "v").agg(F.min("id").alias("asker"))
-    blocks = classes.withColumns({"dim": F.size("v"), "block": F.pmod("asker", F.lit(max(1, -(-classes.count() // 2048)))), "n": F.lit(1)})
+    few_rows = max(1, -(-classes.count() // QUERIES))
+    blocks = classes.withColumns({"dim": F.size("v"), "block": F.pmod("h", F.lit(few_rows)).cast("int")})
     blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("asker", "v")).alias("q"))
-    pairs = indexes.join(blocks, "dim").select("index", "q").repartition(F.col("index"), F.col("q.asker"))
+    # An index is sent once for every ROWS rows of queries; a row of queries once to each shard.
+    copies = max(1, -(-few_rows // ROWS))
+    rows = blocks.join(indexes.select("dim", "shard"), "dim").select("dim", "shard", F.pmod("block", F.lit(copies)).alias("copy"), F.lit(None).cast("binary").alias("index"), "q")
+    tables = indexes.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "index", F.lit(None).cast("array<struct<asker:bigint,v:array<double>>>").alias("q"))
+    both = tables.union(rows).repartition("dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", F.col("index").isNull())
 
     def run(batches):
+        held = None
         for pdf in batches:
             for blob, qs in zip(pdf["index"], pdf["q"], strict=True):
-                got = search(pickle.loads(blob), np.stack([r["v"] for r in qs]), k + 1, width)
-                yield pd.DataFrame({"asker": [r["asker"] for r in qs], "found": [[{"id": i, "score": s} for i, s in g] for g in got]})
-
-    found = pairs.mapInPandas(run, "asker long, found array<struct<id:bigint,score:double>>")
-    order = F.array_sort(F.flatten(F.collect_list("found")), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    best = found.groupBy("asker").agg(F.slice(order, 1, k + 1).alias("best"))
+                if blob is not None:
+                    held = pickle.loads(blob)
+                    continue
+                got = search(held, np.stack([r["v"] for r in qs]), k + 1, width)
+                found = [(r["asker"], i, x) for r, best in zip(qs, got, strict=True) for i, x in best]
+                yield pd.DataFrame(found, columns=["asker", "id", "score"])
+
+    best = F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "id"))
+    found = both.select("index", "q").mapInPandas(run, "asker long, id long, score double")
+    found = found.withColumn("place", best).where(F.col("place") <= k + 1)
+    best = found.groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("best"))
     members = asked.join(classes, ["h", "v"]).select("id", "asker")
     each = members.join(best, "asker").select(F.col("id").alias("query_id"), F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, k).alias("b"))
     return each.select("query_id", F.posexplode("b").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), F.col("b.score").alias("score"))
