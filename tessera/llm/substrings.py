@@ -6,13 +6,15 @@ merged sketches overestimate how many documents have an anchor. The second pass
 or more and groups exactly those by a 128-bit hash of their words: the least doc_id of a window decides which documents lose it. Nothing
 that repeats is lost: estimates are never too low.
 
-The sketch holds, for each cell, whether one document or more than one was counted. Cells are cut into blocks; a partition sends the cells it
-touches, blocks are merged by a shuffle, and only the cells counted twice go on, at most `CELLS` bits a row. Its width follows the size
-of the corpus up to that bound; beyond it the hash space is worked through in rounds of equal width, so the estimates stay as sharp.
+The sketch is never in one place. The hash space is cut into blocks, as many as the corpus asks for, each with its own rows of cells, so a
+block costs the same at any size. A partition sends each block the cells it touched (once, or more often) and the runs of windows whose
+anchors lie in it; the block's cells are merged first and its runs are looked up then. So texts are read once for the sketch and the
+lookup, and then only those that hold runs estimated repeated. Anchors that repeat within a partition need no lookup, and windows that
+a partition has in an earlier document need no comparison, so a passage that a third of all documents hold is sent once by each partition.
 
 Nulls: a null text has no words; a null doc_id takes no part in comparisons and loses nothing. Documents with fewer words than a window
-lose nothing. Rows that repeat a doc_id are one document's parts: they don't make each other lose words, and each gets its own result.
-Extra columns are ignored; an empty table gives an empty result.
+lose nothing. Rows that repeat a doc_id are one document's parts: they don't make each other lose words, and each gets its own result (rows
+are told apart by their text's hash). Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
-from .graphs import left_joined
+from .common import cut, table
+from .graphs import maybe_in
 
 WINDOW, GRAM = 50, 25
-ROWS, CELLS, BLOCK = 3, 1 << 27, 1 << 16
-#: Texts are worked on in groups of about so many bytes, whatever a batch holds.
-CHUNK = 4 << 20
+#: Rows of the sketch, and cells of a block in each of them.
+ROWS, CELLS = 3, 1 << 20
+#: Runs, and windows, that a task holds before it sends them.
+RUNS, WINDOWS = 200_000, 300_000
+RECORD = np.dtype([("h", "<u8"), ("doc_id", "<i8"), ("part", "<i8"), ("start", "<i4"), ("n", "<i4")])
 M1, M2, B1, B2 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 I1, I2 = (np.uint64(pow(int(b), -1, 2**64)) for b in (B1, B2))
 
@@ -89,139 +93,179 @@ def texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
 
 
 def packed(cells: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(cells, prepend=cells[:1] * 0).astype("<u2").tobytes(), 1) if len(cells) else b""
+    return zlib.compress(np.diff(cells, prepend=cells[:1] * 0).astype("<u4").tobytes(), 1) if len(cells) else b""
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(b), "<u2").astype(np.int64)) if b else np.zeros(0, dtype=np.int64)
+    return np.cumsum(np.frombuffer(zlib.decompress(b), "<u4").astype(np.int64)) if b else np.zeros(0, dtype=np.int64)
 
 
-def sketch(docs: DataFrame, width: int, rounds: int, at: int, window: int, gram: int) -> np.ndarray:
-    """Bits of the cells in which two documents or more were counted."""
+def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
+    return (mixed(h ^ B2) % np.uint64(blocks)).astype(np.int64)
 
-    def count(batches):
-        touched = []
+
+def keyed(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, bytes]]:
+    """doc_id, hash of the text, text."""
+    for (key, text), part in zip(texts(batch), batch.column(2).to_pylist(), strict=True):
+        yield key, part, text
+
+
+def counted(docs: DataFrame, blocks: int, width: int, window: int, gram: int) -> DataFrame:
+    """(block, kind, once, twice): for each block the cells touched (kind 0; once or by two documents or more) and the runs of windows to look
+    up (kind 1); and the runs whose anchors repeat in the task (kind 2)."""
+    schema = {"block": pa.int64(), "kind": pa.int32(), "once": pa.binary(), "twice": pa.binary()}
+
+    def run(batches):
+        touched: list[np.ndarray] = []
+        runs: list[np.ndarray] = []
         held = 0
 
-        def flush():
-            # A document counts once in a cell; a cell that two documents of the partition touch is sent as counted twice.
-            if not touched:
-                return
-            cells, n = np.unique(np.concatenate(touched), return_counts=True)
+        def flush() -> pa.RecordBatch:
+            anchors_, n = np.unique(np.concatenate(touched), return_counts=True)
+            at = block_of(anchors_, blocks)
+            cells = (cells_of(anchors_, width) + at * (ROWS * width)).ravel()
+            # Two anchors of one document may share a cell, which then counts as touched twice: an estimate may be too high.
+            cells, many = np.unique(np.concatenate([cells, np.repeat(cells, np.tile(np.minimum(n, 2) - 1, ROWS))]), return_counts=True)
+            out = []
+            of = cells // (ROWS * width)
+            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(cells)], strict=True):
+                own = cells[a:b] - of[a] * (ROWS * width)
+                out.append((int(of[a]), 0, packed(own), packed(own[many[a:b] > 1])))
+            every = np.concatenate(runs)
+            known = np.isin(every["h"], anchors_[n > 1])
+            if known.any():
+                out.append((blocks + int(every["doc_id"][0] % blocks), 2, zlib.compress(every[known].tobytes(), 1), None))
+            every = every[~known]
+            of = block_of(every["h"], blocks)
+            order = np.argsort(of, kind="stable")
+            every, of = every[order], of[order]
+            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+            for a, b in zip(edges, [*edges[1:], len(of)], strict=True) if len(of) else ():
+                out.append((int(of[a]), 1, zlib.compress(every[a:b].tobytes(), 1), None))
             touched.clear()
-            blocks = cells // BLOCK
-            edges = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
-            for a, b in zip(edges, [*edges[1:], len(cells)], strict=True):
-                own, twice = cells[a:b] - blocks[a] * BLOCK, n[a:b] > 1
-                yield int(blocks[a]), packed(own), packed(own[twice])
+            runs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.values(), strict=True)], list(schema))
 
         for batch in batches:
-            out = []
-            for key, text in texts(batch):
+            for key, part, text in keyed(batch):
                 words = text.split()
                 if key is None or len(words) < window:
                     continue
-                a = np.unique(anchors(Rolling(word_hashes(words), B1, I1), window, gram))
-                if rounds > 1:
-                    a = a[a % np.uint64(rounds) == np.uint64(at)]
-                one = np.unique(cells_of(a, width).ravel())
-                touched.append(one)
-                held += len(one)
-                if held > 4_000_000:
-                    out += flush()
+                a = anchors(Rolling(word_hashes(words), B1, I1), window, gram)
+                touched.append(np.unique(a))
+                start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                r = np.zeros(len(start), RECORD)
+                r["h"], r["doc_id"], r["part"], r["start"], r["n"] = a[start], key, part, start, np.diff(np.r_[start, len(a)])
+                runs.append(r)
+                held += len(r)
+                if held > RUNS:
+                    yield flush()
                     held = 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "once", "twice"])
-        if out := list(flush()):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "once", "twice"])
+        if touched:
+            yield flush()
 
-    def merge(batches):
-        # Rows come sorted by block; a cell is counted twice if any sender says so or two senders touched it.
-        block, once, twice = None, None, None
-        for pdf in batches:
-            rows = []
-            for b, o, t in zip(pdf["block"], pdf["once"], pdf["twice"], strict=True):
-                if b != block:
-                    if block is not None and twice.any():
-                        rows.append((block, zlib.compress(np.packbits(twice).tobytes(), 1)))
-                    block, once, twice = b, np.zeros(BLOCK, dtype=bool), np.zeros(BLOCK, dtype=bool)
-                cells = unpacked(o)
-                twice[cells[once[cells]]] = True
-                once[cells] = True
-                twice[unpacked(t)] = True
-            yield pd.DataFrame(rows, columns=["block", "bits"])
-        if block is not None and twice.any():
-            yield pd.DataFrame([(block, zlib.compress(np.packbits(twice).tobytes(), 1))], columns=["block", "bits"])
-
-    parts = docs.mapInArrow(count, "block int, once binary, twice binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInPandas(merge, "block int, bits binary")
-    bits = np.zeros((-(-ROWS * width // BLOCK), BLOCK // 8), dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        bits[r.block] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return bits.ravel()
+    return docs.mapInArrow(run, "block bigint, kind int, once binary, twice binary")
 
 
 def estimated(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     """Which hashes are estimated in two documents or more: all their cells are."""
     out = np.ones(len(h), dtype=bool)
     for cells in cells_of(h, width):
-        out &= (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+        out &= bits[cells]
     return out
 
 
-def repeated(docs: DataFrame, shared, width: int, rounds: int, at: int, window: int, gram: int) -> DataFrame:
-    """(k1, k2, doc_id, start): the windows whose anchor is estimated in two documents or more."""
+def looked_up(parts: DataFrame, width: int) -> DataFrame:
+    """(id, part, start, n): the runs of windows whose anchors are estimated in two documents or more. Rows come sorted by block and kind, so
+    a block's cells are merged before its runs are looked up."""
 
-    def emit(batches):
-        bits = shared.value
+    def run(batches):
+        block, once, twice = None, None, None
         for batch in batches:
-            got: list = []
-            size = 0
-            for key, text in texts(batch):
-                words = text.split()
-                if key is None or len(words) < window:
-                    continue
-                h = word_hashes(words)
-                first = Rolling(h, B1, I1)
-                a = anchors(first, window, gram)
-                on = estimated(bits, a, width)
-                if rounds > 1:
-                    on &= a % np.uint64(rounds) == np.uint64(at)
-                if not on.any():
+            found = []
+            for of, kind, first, second in zip(*[batch.column(i) for i in range(4)], strict=True):
+                data = first.as_py()
+                if kind.as_py() == 2:
+                    found.append(np.frombuffer(zlib.decompress(data), RECORD))
                     continue
-                start = np.flatnonzero(on)
-                k1, k2 = first.runs(window)[start], Rolling(mixed(h), B2, I2).runs(window)[start]
-                got.append((k1.view(np.int64), k2.view(np.int64), np.full(len(start), key, np.int64), start.astype(np.int32)))
-                size += len(start)
-                if size > 500_000:
-                    yield windows(got)
-                    got, size = [], 0
-            if got:
-                yield windows(got)
+                if of.as_py() != block:
+                    block, once, twice = of.as_py(), np.zeros(ROWS * width, dtype=bool), np.zeros(ROWS * width, dtype=bool)
+                if kind.as_py() == 0:
+                    cells = unpacked(data)
+                    twice[cells[once[cells]]] = True
+                    once[cells] = True
+                    twice[unpacked(second.as_py())] = True
+                else:
+                    runs = np.frombuffer(zlib.decompress(data), RECORD)
+                    found.append(runs[estimated(twice, runs["h"], width)])
+            if found:
+                out = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(out[c].copy()) for c in ("doc_id", "part", "start", "n")], ["id", "part", "start", "n"])
+
+    return parts.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "id bigint, part bigint, start int, n int")
+
+
+def windows(docs: DataFrame, window: int) -> DataFrame:
+    """(k1, k2, doc_id, part, start, known) of the windows in the runs of (doc_id, text, part, runs). Of equal windows in a task, those that an
+    earlier document has there too are known to go; they get keys of their own."""
+
+    def sent(got: list) -> pa.RecordBatch:
+        k1, k2, doc, part, start = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((start, part, doc, k2, k1))
+        k1, k2, doc, part, start = (c[order] for c in (k1, k2, doc, part, start))
+        new = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
+        known = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        one = new | np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1])]
+        k1 = np.where(known, mixed((part + start).view(np.uint64)), k1)
+        back = np.lexsort((start[one], part[one], doc[one]))  # neighbours compress
+        return pa.RecordBatch.from_arrays([pa.array(c[one][back]) for c in (k1.view(np.int64), k2.view(np.int64), doc, part, start.astype(np.int32), known)], ["k1", "k2", "doc_id", "part", "start", "known"])
+
+    def run(batches):
+        got, held = [], 0
+        for batch in batches:
+            runs = batch.column(3)
+            edges, from_, n = (c.to_numpy(zero_copy_only=False) for c in (runs.offsets, runs.values.field(0), runs.values.field(1)))
+            for i, (key, part, text) in enumerate(keyed(batch)):
+                h = word_hashes(text.split())
+                own = slice(edges[i], edges[i + 1])
+                start = np.concatenate([np.arange(a, a + k, dtype=np.int64) for a, k in zip(from_[own].tolist(), n[own].tolist(), strict=True)])
+                got.append((Rolling(h, B1, I1).runs(window)[start], Rolling(mixed(h), B2, I2).runs(window)[start], np.full(len(start), key, np.int64), np.full(len(start), part, np.int64), start))
+                held += len(start)
+                if held > WINDOWS:
+                    yield sent(got)
+                    got, held = [], 0
+        if got:
+            yield sent(got)
+
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, part bigint, start int, known boolean")
+
+
+def with_part(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("part"))
 
-    def windows(got: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], ["k1", "k2", "doc_id", "start"])
 
-    return docs.mapInArrow(emit, "k1 bigint, k2 bigint, doc_id bigint, start int")
+def joined_parts(docs: DataFrame, right: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text, part) joined with right (id, part, ...), and the rows that can't have a partner; only the others are moved."""
+    mine = maybe_in(right, "id")(F.col("doc_id"))
+    right = right.withColumnRenamed("part", "part_")
+    both = docs.where(mine).join(right, (F.col("doc_id") == F.col("id")) & (F.col("part") == F.col("part_")), how)
+    return both, docs.where(~mine)
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
-    """(doc_id, starts): where the windows start that a document with a smaller doc_id has too."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(id, part, starts): where the windows start that a document with a smaller doc_id has too, for each document and text."""
+    d = with_part(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     # Some 13 windows share an anchor and a word has about 6 bytes; 12 cells for each anchor keep the estimates sharp.
-    need = 12 * int(d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // 80 + BLOCK
-    rounds = max(1, -(-need // cells))
-    width = min(cells, 1 << (-(-need // rounds)).bit_length())
-    out = None
-    for at in range(rounds):
-        shared = spark.sparkContext.broadcast(sketch(d, width, rounds, at, window, gram))
-        w = repeated(d, shared, width, rounds, at, window, gram)
-        first = w.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first")
-        hit = w.join(first, ["k1", "k2"]).where("first < doc_id").select("doc_id", "start")
-        out = hit if out is None else out.union(hit)
-    return out.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    need = 12 * int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // 80
+    blocks = need // cells + 1
+    runs = looked_up(counted(d, blocks, cells, window, gram), cells)
+    # Rows of one document and text have the same runs, so an array is no longer than a text.
+    runs = cut(runs.groupBy("id", "part").agg(F.collect_set(F.struct("start", "n")).alias("runs")))
+    texts_, _ = joined_parts(d, runs, "inner")
+    w = windows(texts_.select("doc_id", "text", "part", "runs"), window)
+    w = w.withColumn("first", F.min("doc_id").over(Window.partitionBy("k1", "k2"))).where("known or first < doc_id")
+    return w.groupBy(F.col("doc_id").alias("id"), "part").agg(F.collect_set("start").alias("starts"))
 
 
 def kept_words(words: list[bytes], starts, window: int) -> list[bytes]:
@@ -239,8 +283,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int =
     """(doc_id, n_words, n_removed, kept_sha256, text): each document without the words that earlier documents' windows cover; `text` (kept
     words joined by one space) is null unless asked for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    gone = cut(removals(docs, window, gram, cells).withColumnRenamed("doc_id", "__id"))
-    joined = left_joined(docs.select("doc_id", "text"), gone, "doc_id", "__id").select("doc_id", "text", "starts")
+    gone = cut(removals(docs, window, gram, cells))
+    some, rest = joined_parts(with_part(docs), gone, "left")
+    joined = some.select("doc_id", "text", "starts").union(rest.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts")))
 
     def finish(batches):
         for pdf in batches:
