@@ -1,8 +1,8 @@
 """Personal data: regular expressions propose spans, validators confirm them, context words adjust the score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping per kind; a match that fails its validator is
-dropped and the search goes on behind it. Added kinds (iban with mod-97, ssn, shorter Luhn cards) carry a score: a base value for the
-pattern, more for a confirmed checksum, more or less for words nearby; they stay from `threshold` on. Every scan is linear in the text,
+dropped and the search goes on behind it. Added kinds (iban with mod-97, ssn, shorter Luhn cards, keys and tokens) carry a score: a base value for the
+pattern, more for a confirmed checksum or high entropy, more or less for words nearby; they stay from `threshold` on. Every scan is linear in the text,
 also for texts that are one long run of letters or digits.
 
 Nulls count as empty texts; empty texts have no spans; rows are independent, so repeated rows and extra columns change nothing; an
@@ -12,7 +12,9 @@ empty table gives an empty result. Offsets are code points, end exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import small_batches, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "short_card")
+ADDED_KINDS = ("iban", "ssn", "short_card", "secret")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match starts at the start of a run of digits, or it would have been found there; runs are never given back.
@@ -30,12 +32,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Keys and tokens: long runs without a space, confirmed by their entropy; forms that services publish for their keys need no context.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
+HEX = re.compile(r"[0-9a-fA-F]+")
+KNOWN_SECRET = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}")
+PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 #: Words that raise or lower the score of a span with one of them among the `CONTEXT` characters before it.
-RAISE = {"iban": ("iban", "account", "bank", "konto", "compte", "cuenta"), "ssn": ("ssn", "social", "security", "tax"), "short_card": ("card", "visa", "amex", "credit", "karte", "carte", "tarjeta")}
+RAISE = {"iban": ("iban", "account", "bank", "konto", "compte", "cuenta"), "ssn": ("ssn", "social", "security", "tax"), "short_card": ("card", "visa", "amex", "credit", "karte", "carte", "tarjeta"), "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials")}
 LOWER = ("order", "invoice", "isbn", "serial", "part", "version", "sku")
 CONTEXT = 40
-PATTERN_SCORE = {"iban": 0.3, "ssn": 0.4, "short_card": 0.1}
-CHECK_SCORE = {"iban": 0.5, "ssn": 0.0, "short_card": 0.2}
+PATTERN_SCORE = {"iban": 0.3, "ssn": 0.4, "short_card": 0.1, "secret": 0.0}
+CHECK_SCORE = {"iban": 0.5, "ssn": 0.0, "short_card": 0.2, "secret": 0.2}
 
 
 def luhn(digits: str) -> bool:
@@ -56,6 +63,28 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def entropy(s: str) -> float:
+    """Bits a character, of the string's own distribution of characters."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+def random_looking(s: str) -> bool:
+    """Letters and digits mixed, with the entropy of generated keys: hexadecimal ones have at most 4 bits a character, others more."""
+    mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    return mixed and entropy(s) >= (3.0 if HEX.fullmatch(s) else 3.6)
+
+
+def secrets(text: str) -> Iterator[tuple[int, int, float]]:
+    """start, end, score."""
+    for m in PRIVATE_KEY.finditer(text):
+        yield *m.span(), 1.0
+    for m in SECRET.finditer(text):
+        if KNOWN_SECRET.fullmatch(m[0]):
+            yield *m.span(), 1.0
+        elif random_looking(m[0]):
+            yield *m.span(), PATTERN_SCORE["secret"] + CHECK_SCORE["secret"] + context_score("secret", text, m.start())
+
+
 def only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -113,6 +142,7 @@ def find(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, int,
             score = PATTERN_SCORE[kind] + CHECK_SCORE[kind] + context_score(kind, text, a)
             if ok and score >= threshold:
                 out.append((kind, a, b, round(min(1.0, score), 3)))
+    out += [("secret", a, b, round(min(1.0, score), 3)) for a, b, score in sorted(secrets(text)) if score >= threshold]
     return out
 
 
@@ -140,7 +170,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda xs: F.concat_ws(",", F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), *[count(k) for k in ADDED_KINDS])
 
 
 def brute(text: str | None) -> tuple[list[int], str]:

@@ -19,7 +19,7 @@ def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["b", "a", "é", "Z", None, "hot", "hot", "hot"]), rng.choice((0, 1, 7, 300))) for i in range(800)]
     rows += [(5, "a", 7), (5, "a", 7), (None, "b", 3), (901, "b", None), (902, "tiny", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumns({"target": F.lit("x"), "rank": F.lit(1)}).drop("target", "rank")
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumns({"rank": F.lit(1), "n": F.lit("x"), "start": F.lit("y")})
     got = mixing.mix(df).collect()
     assert len(got) == len(rows)
     sizes: dict = {}
