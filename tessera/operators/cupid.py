@@ -18,8 +18,27 @@ from .base import Matcher
 
 #: The weight of each kind of token.
 KINDS = (("number", 0.1), ("common", 0.1), ("content", 0.8))
-#: Compatibility of those type labels that tables can have. Equal labels are 1; others are as similar as their names.
-COMPATIBLE = (("varchar", "int", 0.1), ("int", "varchar", 0.1), ("date", "int", 0.1), ("int", "date", 0.1))
+#: Compatibility of a source's type label with a target's. Equal labels are 1; pairs not listed are as similar as their names.
+COMPATIBLE = {
+    "text": {"keyword": 1.0, "varchar": 1.0, "nvarchar": 0.9, "nchar": 0.8, "char": 0.6},
+    "keyword": {"text": 1.0, "varchar": 1.0, "nvarchar": 0.9, "nchar": 0.8, "char": 0.6},
+    "varchar": {"text": 1.0, "keyword": 1.0, "nvarchar": 0.9, "nchar": 0.8, "char": 0.6, "int": 0.1},
+    "nvarchar": {"text": 0.9, "keyword": 0.9, "varchar": 0.9, "nchar": 0.8, "char": 0.6},
+    "nchar": {"text": 0.7, "keyword": 0.7, "varchar": 0.7, "nvarchar": 1.0, "char": 0.7},
+    "char": {"text": 0.7, "keyword": 0.7, "varchar": 0.7, "nchar": 0.8, "nvarchar": 0.6},
+    "date": {"double": 0.1, "int": 0.1, "decimal": 0.1, "bit": 0.1},
+    "double": {"date": 0.1, "float": 1.0, "decimal": 1.0},
+    "decimal": {"date": 0.1, "float": 1.0, "double": 1.0},
+    "int": {"date": 0.1, "long": 0.8, "short": 0.7, "smallint": 0.7, "integer": 1.0, "varchar": 0.1},
+    "integer": {"date": 0.1, "long": 0.8, "short": 0.7, "smallint": 0.7, "int": 1.0},
+    "bit": {"time": 0.1, "date": 0.1},
+    "time": {"bit": 0.1},
+    "float": {"double": 0.9},
+    "long": {"short": 0.6, "int": 0.8, "bigint": 1.0, "smallint": 0.6, "integer": 0.8},
+    "bigint": {"short": 0.6, "int": 0.8, "long": 1.0, "smallint": 0.6, "integer": 0.8},
+    "short": {"long": 0.6, "int": 0.8, "bigint": 0.6, "smallint": 1.0, "integer": 0.8},
+    "smallint": {"long": 0.6, "int": 0.8, "bigint": 0.6, "short": 1.0, "integer": 0.8},
+}
 
 
 def best_partners(a: Column, b: Column, lexicon: Column | None = None) -> Column:
@@ -51,10 +70,10 @@ def name_similarity(a: Column, b: Column, lexicon: Column | None = None) -> Colu
 
 
 def compatibility(a: Column, b: Column) -> Column:
-    same = F.when(a == b, 1.0)
-    for x, y, v in COMPATIBLE:
-        same = same.when((a == x) & (b == y), v)
-    return same.when((a == "") | (b == ""), 0.0).otherwise(similarity_of(F.levenshtein(a, b), a, b))
+    """Of a source's label with a target's; the empty label fits itself only."""
+    listed = F.create_map(*[F.lit(x) for s, row in COMPATIBLE.items() for t, v in row.items() for x in (f"{s} {t}", v)])
+    same = F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0)
+    return same.otherwise(F.coalesce(F.element_at(listed, F.concat(a, F.lit(" "), b)), similarity_of(F.levenshtein(a, b), a, b)))
 
 
 def leaves(tables: list[Table], spark) -> DataFrame:

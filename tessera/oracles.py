@@ -173,6 +173,25 @@ scored AS (SELECT sc, tc, k * 0.2 + CASE WHEN k > 0.7 THEN coalesce(v, 0) * k EL
 SELECT 'customer' AS source_table, sc AS source_column, 'supplier' AS target_table, tc AS target_column, round(CAST(s AS DOUBLE), 6) AS similarity FROM scored WHERE s >= 0.7"""
 
 
+def composite_sql(instances: bool) -> str:
+    """The mean of name and path trigrams, name tokens, types, and with instances the cosine of value tokens' weights."""
+    grams = lambda x: f"list_distinct(list_transform(range(1, length({x}) + 3), lambda i: substr('  ' || lower({x}) || '  ', i, 3)))"
+    dice = lambda a, b: f"2.0 * len(list_intersect({grams(a)}, {grams(b)})) / (len({grams(a)}) + len({grams(b)}))"
+    names = cupid_sql().split(",\nscored AS")[0]
+    values = f""",
+cell AS ({cells_sql('customer', 'supplier')}),
+bag AS (SELECT tbl, col, token, count(*) AS tf FROM (SELECT tbl, col, unnest(list_distinct(list_filter(string_split_regex(lower(v), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) AS token FROM cell) GROUP BY ALL),
+idf AS (SELECT token, ln(((SELECT count(*) FROM (SELECT DISTINCT tbl, col FROM bag)) + 1) / (count(*) + 1)) + 1 AS idf FROM bag GROUP BY token),
+weight AS (SELECT tbl, col, token, (1 + ln(tf)) * idf AS x FROM bag JOIN idf USING (token)),
+unit AS (SELECT tbl, col, token, x / sqrt(sum(x * x) OVER (PARTITION BY tbl, col)) AS x FROM weight),
+cosine AS (SELECT a.col AS sc, b.col AS tc, sum(a.x * b.x) AS cosine FROM unit a JOIN unit b ON a.token = b.token AND a.tbl = 'customer' AND b.tbl = 'supplier' GROUP BY ALL)"""
+    extra, join, n = (" + coalesce(cosine, 0.0)", " LEFT JOIN cosine USING (sc, tc)", 5) if instances else ("", "", 4)
+    path = dice("('customer ' || sc)", "('supplier ' || tc)")
+    return f"""{names}{values if instances else ''},
+total AS (SELECT sc, tc, ({dice('sc', 'tc')} + coalesce(v, 0.0) + k + {path}{extra}) / {n} AS s FROM compat LEFT JOIN names USING (sc, tc){join})
+SELECT 'customer' AS source_table, sc AS source_column, 'supplier' AS target_table, tc AS target_column, round(CAST(s AS DOUBLE), 6) AS similarity FROM total WHERE s >= 0.4"""
+
+
 FIXTURE = "m AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}', '{d}', {x})" for i, (a, b, c, d, x) in enumerate(ROWS)) + ") AS v(pos, source_table, source_column, target_table, target_column, similarity))"
 PLACES = ", ".join(f"('{c}', {i})" for t in ("customer", "supplier") for i, c in enumerate(COLUMNS[t]))
 REAL = f"""p AS (SELECT * FROM (VALUES {PLACES}) AS v(col, place)), j AS ({jaccard_sql("{a} = {b}", ("customer",), ("supplier",)).replace("round(h / (a + b - h), 6)", "h / (a + b - h)")}),
@@ -224,6 +243,8 @@ ORACLES = {
     "dist_clusters": f"{CLUSTERS} SELECT side, col, cluster FROM clus",
     "distribution_match": DISTRIBUTION,
     "cupid_leaf": cupid_sql(),
+    "composite_match": composite_sql(False),
+    "composite_instances": composite_sql(True),
     **{f"flood_match_{f}_{p}": flood_sql(f, p) for f in FLOWS for p in WEIGHTS},
     "flood_initial_map": f"WITH {GRAPHS} SELECT n1, n2, round(CAST(sim AS DOUBLE), 6) AS sim FROM ({INITIAL})",
     "flood_connectivity": f"WITH {GRAPHS}, {PCG} SELECT * FROM c",

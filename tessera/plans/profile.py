@@ -16,7 +16,10 @@ def kept(df: DataFrame) -> DataFrame:
     """The rows computed once and kept in the shared folder, so that a lost executor costs nothing upstream."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if there is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 
