@@ -7,7 +7,9 @@ similarities flow until they settle. Graphs are as large as schemas, so the iter
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -114,16 +116,26 @@ class SimilarityFlooding(Matcher):
     formula: str = "formula_c"
 
     def match(self, source: Table, target: Table) -> DataFrame:
-        spark = source.df.sparkSession
+        return self.match_all([source], [target])
+
+    def match_all(self, sources: Sequence[Table], targets: Sequence[Table]) -> DataFrame:
+        """A group for each pair of tables, so a batch is spread over tasks; each table's graph is made once."""
+        spark = sources[0].df.sparkSession
         if self.formula not in FORMULAS:
             return spark.createDataFrame([], SCHEMA)
-        e1, e2 = edges(spark, source), edges(spark, target)
-        formula, s_name, t_name = self.formula, source.name, target.name
-        s_pos, t_pos = {f.name: i for i, f in source.fields}, {f.name: i for i, f in target.fields}
-        start = initial_map(e1, e2).select(F.lit(0).alias("g"), "n1", "n2", F.lit(None).cast("string").alias("v1"), F.lit(None).cast("string").alias("v2"), F.col("sim").alias("x"))
-        links = weights(e1, e2, self.coeff_policy).select(F.lit(0).alias("g"), F.col("u1").alias("n1"), F.col("u2").alias("n2"), "v1", "v2", F.col("weight").alias("x"))
+        formula, p = self.formula, "id:column:"
+        left, right = [(t.name, {f.name: i for i, f in t.fields}, edges(spark, t)) for t in sources], [(t.name, {f.name: i for i, f in t.fields}, edges(spark, t)) for t in targets]
+        parts, of = [], {}
+        for s_name, s_pos, e1 in left:
+            for t_name, t_pos, e2 in right:
+                g = F.lit(len(of)).alias("g")
+                of[len(of)] = (s_name, s_pos, t_name, t_pos)
+                none = F.lit(None).cast("string")
+                parts.append(initial_map(e1, e2).select(g, "n1", "n2", none.alias("v1"), none.alias("v2"), F.col("sim").alias("x")))
+                parts.append(weights(e1, e2, self.coeff_policy).select(g, F.col("u1").alias("n1"), F.col("u2").alias("n2"), "v1", "v2", F.col("weight").alias("x")))
 
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+            s_name, s_pos, t_name, t_pos = of[int(pdf["g"].iloc[0])]
             first = pdf[pdf["v1"].isna()].sort_values(["n1", "n2"])
             at = {k: i for i, k in enumerate(zip(first["n1"], first["n2"], strict=True))}
             go = pdf[pdf["v1"].notna()].sort_values(["n1", "n2", "v1", "v2", "x"]).drop_duplicates(["n1", "n2", "v1", "v2"], keep="last")
@@ -132,8 +144,7 @@ class SimilarityFlooding(Matcher):
             inside = np.zeros(len(at), dtype=bool)
             inside[src] = inside[dst] = True
             sim = flow(first["x"].to_numpy(), src, dst, go["x"].to_numpy(), inside, formula)
-            p = "id:column:"
             rows = [(s_name, a[len(p) :], t_name, b[len(p) :], s_pos[a[len(p) :]], t_pos[b[len(p) :]], float(sim[i])) for (a, b), i in at.items() if a.startswith(p) and b.startswith(p)]
             return pd.DataFrame(rows, columns=["source_table", "source_column", "target_table", "target_column", "source_pos", "target_pos", "similarity"])
 
-        return start.unionByName(links).groupBy("g").applyInPandas(settle, SCHEMA)
+        return reduce(DataFrame.unionByName, parts).groupBy("g").applyInPandas(settle, SCHEMA)
