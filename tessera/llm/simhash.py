@@ -4,8 +4,8 @@ A text's terms are its word pairs (its last word counts alone), weighted by the
 little. Each term's two 64-bit hashes vote on 128 signed bits; a bit is set where the votes for it hold more than half of the weight.
 Votes are counted two bits to a 64-bit sum (32 bits each, enough for 10**8 words a document). Texts without words get zeros.
 
-`near_pairs` finds all fingerprints within a Hamming radius: a fingerprint is cut into more blocks than the radius, so two of them
-within it agree on at least one block, and a table for each block finds them by an equi-join.
+`within` finds all fingerprints within a Hamming radius by permuted block tables: a fingerprint is cut into two blocks more than the
+radius, each table leads with a choice of two of them, and two fingerprints within the radius agree on the lead of one table at least.
 
 Nulls: a null text counts as empty, a null doc_id sorts behind all others. Repeated rows stay apart and follow each other in text order.
 Extra columns are ignored; a table of one row follows itself; an empty table gives an empty result.
@@ -14,11 +14,12 @@ Extra columns are ignored; a table of one row follows itself; an empty table giv
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 LANES = 4294967297  # bits j and j + 32
 LEAST = -(2**63)
@@ -95,7 +96,8 @@ def in_order(docs: DataFrame, rows_each: int = 2000, most: int = 16384) -> DataF
 
 
 def compared(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
+    """Fingerprints of every text (f1 and f2 are its halves) and of its edited text, and their likeness to each other and to the next
+    document's."""
     n = F.length("text")
     part = F.floor(n / 2).cast("int")
     rows = in_order(docs).withColumn("edited", F.when(F.col("ghost") == 0, F.concat(F.substring("text", F.lit(1), n - part), F.substring(F.coalesce("next", F.lit("")), F.lit(1), part))))
@@ -108,28 +110,68 @@ def compared(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy("rid")
     one = one.withColumns({"n1": F.lead("a1").over(w), "n2": F.lead("a2").over(w)}).where("ghost = 0")
     a, e, b = (F.col("a1"), F.col("a2")), (F.col("e1"), F.col("e2")), (F.col("n1"), F.col("n2"))
-    return one.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), text_of(*a).alias("fingerprint"), text_of(*e).alias("edited_fingerprint"), likeness(*a, *e).alias("near_edited"), likeness(*a, *b).alias("near_next"))
-
-
-def near_pairs(prints: DataFrame, radius: int = 3, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    return one.select("doc_id", F.col("a1").alias("f1"), F.col("a2").alias("f2"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), text_of(*a).alias("fingerprint"), text_of(*e).alias("edited_fingerprint"), likeness(*a, *e).alias("near_edited"), likeness(*a, *b).alias("near_next"))
+
+
+def block_tables(radius: int, blocks: int) -> list[tuple[int, int]]:
+    """The tables' bits, as masks of f1 and of f2: one table for each choice of blocks - radius of the blocks. Fingerprints within the
+    radius differ in `radius` blocks at most, so they agree on all bits of one table at least."""
+    if not 0 <= radius < blocks <= BITS:
+        raise ValueError("blocks must be more than the radius, and 128 at most")
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    runs = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [(signed(m >> 64), signed(m & (1 << 64) - 1)) for m in map(sum, combinations(runs, blocks - radius))]
+
+
+def within(prints: DataFrame, radius: int = 3, blocks: int | None = None, each: int = 2000) -> DataFrame:
+    """(a1, a2, b1, b2, distance): each ordered pair of different fingerprints within `radius` bits, once, for distinct rows (f1, f2).
+
+    Fingerprints that agree on a table's bits meet in an equi-join; of the tables on which a pair agrees the first gives it. Values of
+    more than `each` fingerprints and of more than a thousandth of all rows, a thousand values at most, are dealt over a grid of tasks."""
+    masks = block_tables(radius, radius + 2 if blocks is None else blocks)
+    entry = lambda k, m: F.struct(F.lit(k).alias("k"), F.col("f1").bitwiseAND(F.lit(m[0])).alias("m1"), F.col("f2").bitwiseAND(F.lit(m[1])).alias("m2"))
+    tables = prints.select("f1", "f2", F.explode(F.array(*[entry(k, m) for k, m in enumerate(masks)])).alias("t")).select("f1", "f2", "t.*")
+    key = ["k", "m1", "m2"]
+    limit = max(each, prints.count() * len(masks) // 1000)
+    hot = tables.groupBy(*key).count().where(F.col("count") > limit).select(*key, F.ceil(F.sqrt(F.col("count") / limit)).alias("g"))
+    dealt = tables.join(F.broadcast(hot), key, "left").withColumn("g", F.coalesce("g", F.lit(1).cast("long")))
+    own, every = F.pmod(F.xxhash64("f1", "f2"), F.col("g")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))
+    side = lambda p, row, column: dealt.select(*[F.col(c).alias(p + c) for c in key], F.col("f1").alias(p + "1"), F.col("f2").alias(p + "2"), row.alias(p + "row"), column.alias(p + "column"))
+    d1, d2 = F.col("a1").bitwiseXOR(F.col("b1")), F.col("a2").bitwiseXOR(F.col("b2"))
+    distance = F.bit_count(d1) + F.bit_count(d2)
+    agreed = F.coalesce(*[F.when((d1.bitwiseAND(F.lit(m[0])) == 0) & (d2.bitwiseAND(F.lit(m[1])) == 0), F.lit(k)) for k, m in enumerate(masks)])
+    meet = reduce(lambda x, y: x & y, [F.col("a" + c) == F.col("b" + c) for c in [*key, "row", "column"]])
+    got = side("a", own, every).join(side("b", every, own), meet & distance.between(1, radius) & (agreed == F.col("ak")))
+    return got.select("a1", "a2", "b1", "b2", distance.alias("distance"))
+
+
+def near_pairs(prints: DataFrame, radius: int = 3, key: str = "doc_id", blocks: int | None = None, each: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal fingerprints and the pairs of classes within `radius` bits of each other.
 
-    Returns (members: key, class), a class being the smallest key with that fingerprint, and (pairs: a, b, distance) with a < b. Blocks
-    are taken from both halves in turn, radius + 1 of them or more; each pair comes out once, from the first block on which it agrees."""
-    first = prints.groupBy("f1", "f2").agg(F.min(key).alias("class"))
+    Returns (members: key, class), a class being the smallest key with that fingerprint, and (pairs: a, b, distance), each once, a < b.
+    Keys must not be null."""
+    first = cut(prints.groupBy("f1", "f2").agg(F.min(key).alias("class")))
     members = prints.join(first, ["f1", "f2"]).select(key, "class")
-    per = -(-(radius + 1) // 2)
-    width = 64 // per
-    block = lambda p, k: F.shiftrightunsigned(f"{p}f{1 + k % 2}", width * (k // 2)).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-    tables = first.select("class", "f1", "f2", F.posexplode(F.array(*[block("", k) for k in range(2 * per)])).alias("k", "block"))
-    a, b = tables.select(*[F.col(c).alias(f"a_{c}") for c in ("class", "f1", "f2")], "k", "block"), tables.select(*[F.col(c).alias(f"b_{c}") for c in ("class", "f1", "f2")], "k", "block")
-    got = a.join(b, ["k", "block"]).where("a_class < b_class")
-    distance = F.bit_count(F.col("a_f1").bitwiseXOR(F.col("b_f1"))) + F.bit_count(F.col("a_f2").bitwiseXOR(F.col("b_f2")))
-    agrees = F.array_min(F.array(*[F.when(block("a_", k) == block("b_", k), F.lit(k)) for k in range(2 * per)]))
-    pairs = got.where(distance <= radius).where(F.col("k") == agrees).select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), distance.alias("distance"))
-    return members, pairs
+    named = lambda p: first.select(F.col("f1").alias(p + "1"), F.col("f2").alias(p + "2"), F.col("class").alias(p))
+    pairs = within(first.select("f1", "f2"), radius, blocks, each).join(named("a"), ["a1", "a2"]).join(named("b"), ["b1", "b2"])
+    return members, pairs.where("a < b").select("a", "b", "distance")
+
+
+def with_neighbours(rows: DataFrame, radius: int = 3, blocks: int | None = None, each: int = 2000) -> DataFrame:
+    """`rows` (doc_id, f1, f2 and others, kept in the shared folder) with class_id, the smallest doc_id of equal fingerprint (null if all
+    are null), and n_near, the number of other fingerprints within `radius` bits of it.
+
+    Fingerprints of more than a thousandth of all rows, a thousand at most, are sent to the rows; the other rows meet theirs in a join."""
+    classes = cut(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")))
+    found = within(classes.select("f1", "f2"), radius, blocks, each).groupBy(F.col("a1").alias("f1"), F.col("a2").alias("f2")).agg(F.count("*").alias("n_near"))
+    known = cut(classes.join(found, ["f1", "f2"], "left").select("f1", "f2", "class_id", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "rows"))
+    most = (known.agg(F.sum("rows")).first()[0] or 0) // 1000
+    hot, rest = known.where(F.col("rows") > most).drop("rows"), known.where(F.col("rows") <= most).drop("rows")
+    return rows.join(F.broadcast(hot), ["f1", "f2"]).unionByName(rows.join(F.broadcast(hot.select("f1", "f2")), ["f1", "f2"], "left_anti").join(rest, ["f1", "f2"]))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
-    return compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Fingerprints of all documents and of their edited texts, and the number of other fingerprints within three bits of a document's."""
+    prints = cut(compared(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return with_neighbours(prints).drop("f1", "f2")

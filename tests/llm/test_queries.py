@@ -112,6 +112,10 @@ def test_op4_bits(spark, docs):
         half = len(text) // 2
         assert rows[k].fingerprint == simhash_of(text)
         assert rows[k].edited_fingerprint == simhash_of(text[: len(text) - half] + after[:half])
+    prints = {k: int(r.fingerprint, 16) for k, r in rows.items()}
+    first = {v: min(k for k in prints if prints[k] == v) for v in set(prints.values())}
+    for k, v in prints.items():
+        assert (rows[k].class_id, rows[k].n_near) == (first[v], sum(0 < (v ^ w).bit_count() <= 3 for w in first))
 
 
 def test_op5(spark, docs):

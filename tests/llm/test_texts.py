@@ -131,8 +131,8 @@ def test_near_pairs(spark):
         prints[i] = x
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     df = spark.createDataFrame([(k, signed(v >> 64), signed(v & (2**64 - 1))) for k, v in prints.items()], "doc_id long, f1 long, f2 long")
-    for radius in (0, 1, 3, 5):
-        members, pairs = simhash.near_pairs(df, radius)
+    for radius, blocks, each in ((0, None, 2000), (1, 2, 2000), (3, None, 2000), (3, 4, 2), (5, None, 1)):
+        members, pairs = simhash.near_pairs(df, radius, blocks=blocks, each=each)
         cls = {r.doc_id: r["class"] for r in members.collect()}
         reps = sorted(set(cls.values()))
         want = {(a, b) for a in reps for b in reps if a < b and (prints[a] ^ prints[b]).bit_count() <= radius}
@@ -140,6 +140,23 @@ def test_near_pairs(spark):
         assert all(prints[k] == prints[c] for k, c in cls.items())
 
 
+def test_near_fingerprints_of_a_family(spark):
+    """Fingerprints that nearly all agree on every table, repeated rows, a hot fingerprint and null ids."""
+    rng = random.Random(3)
+    base = rng.getrandbits(128)
+    prints = [base] * 300 + [base ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(5))) for _ in range(400)] + [rng.getrandbits(128) for _ in range(50)] + [0]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rows = [(None if i in (0, 750) else i, i, signed(v >> 64), signed(v & (2**64 - 1))) for i, v in enumerate(prints)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, f1 long, f2 long")
+    for each in (2000, 40):
+        got = {r.n: (r.class_id, r.n_near) for r in simhash.with_neighbours(df, each=each).collect()}
+        distinct = set(prints)
+        near = {v: sum(0 < (v ^ w).bit_count() <= 3 for w in distinct) for v in distinct}
+        least = {v: min((r[0] for r, w in zip(rows, prints, strict=True) if w == v and r[0] is not None), default=None) for v in distinct}
+        assert got == {i: (least[v], near[v]) for i, v in enumerate(prints)}
+    assert simhash.with_neighbours(df.where("false")).count() == 0
+
+
 def test_pii(spark):
     texts = ["mail a.b+c@x-y.example.org, not @x.y or a@b", "ip 1.2.3.4 and 999.1.1.1 and 001.002.3.255.7", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "call +49 (30) 1234-567 or +1 2", "iban: DE89 3704 0044 0532 0130 00, ssn 536-90-4399", None, "", "9" * 5000 + ".1.1.1", "a" * 50_000 + "@", "é\U0001f600 a@b.co", "a@b.c@d.e f@g.h@"]
     rng = random.Random(1)
