@@ -117,6 +117,14 @@ def test_packing_round_trip(spark):
     assert len(twice) == 2 * len(rows) and len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
 
 
+def test_ids_of_all_latin_1_pairs():
+    tokens = packing.Tokens("byte_bpe_50k.json")
+    letters = [chr(i) for i in range(256)]
+    texts = [*letters, *(a + b for a in letters for b in letters), *(f"x{a}{b} 7" for a in letters for b in letters), "a <|endoftext|> b"]
+    want = [e.ids for e in tokens.full.encode_batch(texts, add_special_tokens=False)]
+    assert [tokens.ids(t) for t in texts] == want
+
+
 URLS = ["http://A.Example.NET/en/1?x#y", "https://example.com/de/", "http://example.com", "ftp://www.bbc.org/fr/a", "no scheme/net/", None, "", "://x.net/", "http://net/", "http://xnet/", "http://h.net?q=/", "http://a.org/fr", "a://b://c.net/z", "HTTP://ÄB.ORG/fr/"]
 
 

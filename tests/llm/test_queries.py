@@ -89,7 +89,7 @@ def simhash_of(text):
     words = [w.decode() for w in (text or "").encode().split()]
     total, votes = 0, [0] * 128
     signed = lambda h: h & 0xFFFFFFFFFFFFFFFF
-    for a, b in zip(words, [*words[1:], None], strict=True):
+    for a, b in zip(words, [*words[1:], None][: len(words)], strict=True):
         x, y = a.encode(), None if b is None else b.encode()
         h1 = xxhash.xxh64_intdigest(x, 42)
         h1 = h1 if y is None else xxhash.xxh64_intdigest(y, signed(h1))
@@ -219,3 +219,14 @@ def test_substrings_of_parts_with_other_texts(spark):
     df = spark.createDataFrame([(1, a), (2, b + " " + a), (2, a + " " + b), (2, b)], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup(df).collect())
     assert got == [(1, 60, 0), (2, 60, 0), (2, 120, 60), (2, 120, 60)]
+
+
+def test_op4_of_nothing_and_of_nulls(spark, tmp_path):
+    schema = "doc_id bigint, text string, class_id string, n_near string, f1 string, bucket string"
+    rows = [(None, None), (1, "some words here"), (1, "some words here"), (2, ""), (3, None), (4, "w " * 30_000), (5, "some words here")]
+    for name, given in (("none", []), ("odd", rows)):
+        spark.createDataFrame([(*r, "x", "x", "x", "x") for r in given], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = QUERIES["op4_simhash"](spark, f"{tmp_path}/{name}").collect()
+        want = [(None, 2), (1, 1), (1, 1), (2, 2), (3, 2), (4, 4), (5, 1)] if given else []
+        assert sorted((r.doc_id or 0, r.class_id) for r in got) == sorted((k or 0, c) for k, c in want)
+        assert all(r.fingerprint == simhash_of(dict(rows)[r.doc_id]) for r in got)
