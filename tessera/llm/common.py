@@ -30,10 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python in batches of so many rows at most, which keeps workers small beside a full executor heap."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 22) -> None:
+    """Texts go to Python in batches of so many rows and about so many bytes at most (a longer text goes by itself; a bound on bytes that the
+    session has set stays), which keeps workers small beside a full executor heap."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def cut(df: DataFrame) -> DataFrame:

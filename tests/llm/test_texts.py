@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, line_templates, pii, simhash, substrings, toxicity
+from tessera.llm.common import small_batches
 from tessera.llm.graphs import components, left_joined
 
 SCHEMA = "doc_id bigint, text string"
@@ -208,6 +209,18 @@ def test_lines_of_two_documents_recur(spark):
     assert got == line_templates.brute(docs)
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    small_batches(spark)
+    texts = spark.range(200).coalesce(1).withColumn("text", F.repeat(F.lit("x"), 100_000))
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf[["id"]].head(1).assign(id=len(pdf))
+
+    got = [r.id for r in texts.mapInPandas(sizes, "id bigint").collect()]
+    assert sum(got) == 200 and 1 < max(got) < 60
+
+
 def test_toxicity_on_held_out(spark):
     rng = random.Random(8)
     clean = [f"word{i}" for i in range(300)]
