@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -173,9 +174,10 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_")
         raise ValueError(f"the table has columns named as results: {', '.join(sorted(clash))}")
 
     @F.pandas_udf("array<double>")
-    def probabilities(texts: pd.Series) -> pd.Series:
+    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = chain.automaton()
-        return pd.Series([chain.probabilities(chain.hits(a, t)) for t in texts])
+        for texts in batches:
+            yield pd.Series([chain.probabilities(chain.hits(a, t)) for t in texts])
 
     name = fresh("p")
     out = docs.withColumn(name, probabilities(F.col(text)))
